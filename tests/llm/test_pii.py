@@ -1,0 +1,51 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from credence.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+TEXTS = st.text(alphabet="a.@+-0123459 ()x_é", max_size=60)
+
+
+def brute(text):
+    found = [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+    found += [(m.start(), m.end(), "ip") for m in pii.IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    found += [(m.start(), m.end(), "card") for m in pii.CARD.finditer(text) if pii.valid_card(m.group())]
+    found += [(m.start(), m.end(), "phone") for m in pii.PHONE.finditer(text) if pii.valid_phone(m.group())]
+    return sorted(found)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(TEXTS)
+def test_base_spans_equal_the_patterns(text):
+    got = sorted(s for s in pii.find_spans(text, pii.automaton()) if s[2] in pii.BASE_KINDS)
+    assert got == brute(text)
+
+
+def test_added_spans():
+    found = pii.automaton()
+    text = "See HTTPS://www.example.org/a?b=1. IBAN: GB82 WEST 1234 5698 7654 32 now, account no 12345-678"
+    got = {(text[a:b], k) for a, b, k in pii.find_spans(text, found)}
+    assert ("HTTPS://www.example.org/a?b=1", "url") in got
+    assert ("GB82 WEST 1234 5698 7654 32", "account") in got
+    assert ("12345-678", "account") in got
+    assert not pii.find_spans("by account of the http scheme: no number", found)
+
+
+def test_whole_table_and_edges(spark):
+    rows = [(1, "mail a.b@c.de or 4111 1111 1111 1111", 7), (2, None, 8), (None, "10.0.0.255 and +49 (30) 123-45678", 9), (1, "mail a.b@c.de or 4111 1111 1111 1111", 7), (5, "x" * 300_000 + "@y.zz", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_email long")
+    got = sorted(pii.personal_data(docs).collect(), key=lambda r: str(r))
+    assert len(got) == 5
+    by = {r.doc_id: r for r in got}
+    assert (by[1].n_email, by[1].n_card, by[2].spans, by[None].n_ip, by[None].n_phone) == (1, 1, "", 1, 1)
+    assert by[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert by[5].spans == "email:0:300005"
+    base = ",".join(f"{k}:{a}:{b}" for a, b, k in brute(rows[0][1]))
+    assert by[1].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    assert pii.personal_data(docs.limit(0)).count() == 0
+    redacted = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert redacted[2] is None and redacted[1] == "mail [email] or [card]"
