@@ -55,16 +55,38 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
                 yield batch.slice(a, b - a)
 
 
-def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Lower-cased (A-Z) words between ASCII white space, and the row of each; null texts have none."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+def words_of(text: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII white space (A-Z lower-cased unless told not to), and the row of each; null texts have none."""
+    text = pc.fill_null(text, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
     flat, rows = lists.flatten(), pc.list_parent_indices(lists)
     keep = pc.not_equal(flat, "")
     return flat.filter(keep), rows.filter(keep).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def coded_words(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def coded_words(text: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of a slice, the code of each word occurrence, and its row."""
-    flat, rows = words_of(text)
+    flat, rows = words_of(text, lower)
     coded = flat.dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows
+
+
+def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of a slice without nulls, and the offsets of its rows in them."""
+    offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def summed_rows(parts: DataFrame, width: int) -> dict[int, np.ndarray]:
+    """Sums arrays of one width by `at`, in the order of their partitions; the caller bounds the number of `at`.
+
+    parts: at int, part int, sums array<double>. Each group holds one array from each task, never rows of the corpus.
+    """
+
+    def add(pdf):
+        pdf = pdf.sort_values("part")
+        return type(pdf)({"at": pdf["at"][:1].to_numpy(), "sums": [np.sum(np.stack(pdf["sums"].to_list()), axis=0)]})
+
+    total = parts.groupBy("at").applyInPandas(add, "at int, sums array<double>")
+    return {r["at"]: np.asarray(r["sums"], np.float64).reshape(width) for r in total.collect()}
