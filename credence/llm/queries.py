@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import line_dedup, mixing, pii, quality, token_counts
+from credence.llm import decontaminate, line_dedup, mixing, pii, quality, token_counts, warc
 from credence.llm._common import read_table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, sf_dir)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(read_table(spark, sf_dir, "documents"))
 
@@ -35,4 +43,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.MIX_SQL, "op9_line_dedup": line_dedup.LINE_DEDUP_SQL}
+    return {"op5_mixing": mixing.MIX_SQL, "op8_warc": warc.ROUND_TRIP_SQL, "op9_line_dedup": line_dedup.LINE_DEDUP_SQL}
