@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, quality, token_counts, warc
+from credence.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, quality, token_counts, topk, warc
 from credence.llm._common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -47,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": jaccard_join.NEAR_SQL, "op5_mixing": mixing.MIX_SQL, "op8_warc": warc.ROUND_TRIP_SQL, "op9_line_dedup": line_dedup.LINE_DEDUP_SQL}
+    return {"op3_topk": topk.TOP_K_SQL, "op4_jaccard_join": jaccard_join.NEAR_SQL, "op5_mixing": mixing.MIX_SQL, "op8_warc": warc.ROUND_TRIP_SQL, "op9_line_dedup": line_dedup.LINE_DEDUP_SQL}
