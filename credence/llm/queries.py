@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, quality, token_counts, topk, warc
+from credence.llm import decontaminate, jaccard_join, line_dedup, lm_score, mixing, pii, quality, token_counts, topk, warc
 from credence.llm._common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(read_table(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
