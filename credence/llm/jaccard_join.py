@@ -4,11 +4,13 @@ A document's set holds the hashes (64 bits) of its distinct word n-grams. Equal
 one global order, rare n-grams first: n-grams that recur within a task's share are counted over all documents, and the
 `ORDER_LIST` most frequent of them come last, by count; any order gives the same links, a good one gives fewer candidates.
 Nodes whose prefixes share an n-gram are candidates; length, positional and suffix filter (fixed pivots cut the order of
-hashes in 16 ranges, whose sizes bound the difference) drop those that can't link, and the rest is verified once per pair.
+hashes in 2048 ranges; two sets differ by at least as many n-grams as ranges in which one size is odd and one even) drop
+those that can't link, and the rest is verified once per pair.
 
-Large groups are not expanded into all pairs. First each node is compared with the smallest node of each of its prefix
-n-grams. Then the links give components, and only pairs that share a prefix n-gram but not a component are compared: a
-pair within a component can't change the components. No candidate is dropped.
+Large groups are not expanded into all pairs, as a pair within a component can't change the components. In turns, each node
+is compared with one node of each of its prefix n-grams (another one each turn), and the most promising of these pairs that
+lie in different components is verified. At last, components that share a prefix n-gram are compared member by member, and
+every pair of different components that passes the filters is verified. No candidate is dropped.
 
 Defined cases: texts without words, or null, have empty sets and link with nothing; fewer words than n make one n-gram;
 null ids are no smallest id unless a component has no other; repeated rows are one node; further columns are ignored.
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -33,7 +36,9 @@ WORDS, PERCENT = 3, 90
 ORDER_LIST = 500_000
 #: Occurrences within about so many n-grams of one task at which an n-gram counts as recurring.
 RECURS, COUNT_AT = 3, 2_000_000
-RANGES = 16
+RANGES, TURNS = 2048, 2
+#: Pairs of one node that are weighed in a turn; what is left over waits for the last comparison, which is whole.
+WEIGHED = 6
 #: Cells of the filter that spares n-grams of nodes without candidates; false alarms only cost time.
 CELLS = 1 << 22
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -116,7 +121,7 @@ def _prefix_sizes(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarra
     return probe, np.minimum(index, probe)
 
 
-ROW = "rid long, doc_id long, text_key long, n_shingles long, sig binary, prefix array<long>, n_index int, ranges array<int>"
+ROW = "rid long, doc_id long, text_key long, n_shingles long, sig binary, prefix array<long>, n_index int, parity array<long>"
 
 
 def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -136,7 +141,8 @@ def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], n: int = W
             if len(listed):
                 at = np.minimum(np.searchsorted(listed, item), len(listed) - 1)
                 often = np.where(listed[at] == item, counts[at], 0)
-            ranges = np.bincount(row * RANGES + (item >> np.uint64(60)).astype(np.int64), minlength=m * RANGES).astype(np.int32)
+            odd = (np.bincount(row * RANGES + (item >> np.uint64(53)).astype(np.int64), minlength=m * RANGES) & 1).astype(np.uint8)
+            parity = np.packbits(odd).view(np.int64)
             rare_first = np.lexsort((item, often, row))
             probe, index = _prefix_sizes(size, percent)
             probe = np.where(size > 0, probe, 0)
@@ -146,7 +152,7 @@ def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], n: int = W
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(rid, rid + m)), part.column("doc_id"), part.column("text_key"), pa.array(size.astype(np.int64)), pa.array(signs, pa.binary()), lists,
-                    pa.array(np.where(size > 0, index, 0).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * RANGES, pa.int32()), pa.array(ranges)),
+                    pa.array(np.where(size > 0, index, 0).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * (RANGES // 64), pa.int32()), pa.array(parity)),
                 ],
                 names=[c.split()[0] for c in ROW.split(", ")],
             )
@@ -166,22 +172,42 @@ def _pair_filter(xn: Column, xp: Column, yn: Column, yp: Column, percent: int) -
     return (100 * xn >= percent * yn) & (most >= _needed(xn, yn, percent))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that link: suffix filter, then the whole sets of the nodes that are left."""
-    sizes = nodes.select("uid", "n_shingles", "ranges")
-    near = (
-        pairs.join(sizes.toDF("u", "un", "ur"), "u").join(sizes.toDF("v", "vn", "vr"), "v")
-        .withColumn("apart", F.aggregate(F.zip_with("ur", "vr", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d))
-        .where(F.col("un") + F.col("vn") - F.col("apart") >= 2 * _needed(F.col("un"), F.col("vn"), percent))
-        .select("u", "v")
-    )
-    near = staged(near, "join-pairs")
-    wanted = near.select(F.col("u").alias("uid")).unionByName(near.select(F.col("v").alias("uid"))).distinct()
-    wanted = staged(wanted.join(nodes.select("uid", "doc_id", "text_key"), "uid"), "join-wanted")
-    cell = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(CELLS)).cast("int")
+def _cells(keys: DataFrame, cell: Column) -> np.ndarray:
+    """Bitmap of the cells that occur: a filter of fixed size."""
     cells = np.zeros(CELLS, bool)
-    cells[wanted.select(cell.alias("c")).distinct().toArrow().column("c").to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(cells))
+    cells[keys.select(cell.cast("int").alias("c")).distinct().toArrow().column("c").to_numpy()] = True
+    return np.packbits(cells)
+
+
+def _shared_items(nodes: DataFrame) -> DataFrame:
+    """Prefix n-grams that two or more nodes have, with these nodes: item, uid, n, n_index, p."""
+    several = nodes.select(F.explode("prefix").alias("item")).groupBy("item").agg(F.count("*").alias("m")).where("m > 1").select("item")
+    several = staged(several, "join-items")
+    cells = _cells(several, F.pmod(F.col("item"), F.lit(CELLS)))
+    shared = nodes.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            lists = batch.column("prefix")
+            item, row = lists.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)
+            keep = known[item % CELLS]
+            at = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(item[keep]), batch.column("uid").take(at), batch.column("n_shingles").take(at), batch.column("n_index").take(at), pa.array(place[keep].astype(np.int32))],
+                names=["item", "uid", "n", "n_index", "p"],
+            )
+
+    listed = nodes.select("uid", "n_shingles", "n_index", "prefix").mapInArrow(run, "item long, uid long, n long, n_index int, p int")
+    return staged(listed.join(several, "item", "left_semi"), "join-listed")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """uid and whole set of the given nodes, from their texts."""
+    cell = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(CELLS)).cast("int")
+    shared = docs.sparkSession.sparkContext.broadcast(_cells(nodes, cell))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(shared.value).astype(bool)
@@ -194,56 +220,101 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), lists], names=["doc_id", "text_key", "items"])
 
     sets = _texts(docs).withColumn("cell", cell).mapInArrow(run, "doc_id long, text_key long, items array<long>")
-    key = wanted.toDF("uid", "w_id", "w_key")
+    key = nodes.select("uid", F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"))
     sets = sets.join(key, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))).select("uid", "items").dropDuplicates(["uid"])
-    sets = staged(sets, "join-sets")
-    both = near.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    return staged(sets, "join-sets")
+
+
+def _apart(a: str, b: str) -> Column:
+    """Ranges in which one set has an odd and the other an even number: the sets differ by as many n-grams at least."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
+
+
+def _suffix_filter(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """pairs u, v with the bound of their difference; those that it rules out are gone."""
+    both = pairs.join(parities.toDF("u", "un", "up"), "u").join(parities.toDF("v", "vn", "vp"), "v").withColumn("apart", _apart("up", "vp"))
+    return both.where(F.col("un") + F.col("vn") - F.col("apart") >= 2 * _needed(F.col("un"), F.col("vn"), percent)).drop("up", "vp")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that link, by their whole sets."""
+    both = pairs.select("u", "v").join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     common = F.size(F.array_intersect("a", "b"))
     return staged(both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v"), "join-links")
 
 
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components, with these: ru, rv."""
+    roots = labels.select("node", "root")
+    both = pairs.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left")
+    return both.withColumn("ru", F.coalesce("ru", "u")).withColumn("rv", F.coalesce("rv", "v")).where("ru <> rv")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    return staged(connected(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)), "join-labels")
+
+
+def component_labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """node and root of all nodes that have a link."""
+    spark = docs.sparkSession
+    listed = _shared_items(nodes)
+    near = staged(listed.select("uid").distinct().join(nodes.select("uid", "n_shingles", "parity", "doc_id", "text_key"), "uid"), "join-near")
+    parities = near.select("uid", "n_shingles", "parity")
+    sets = None
+    labels = spark.createDataFrame([], "node long, root long")
+    for turn in range(TURNS):
+        hubs = listed.groupBy("item").agg(F.min_by(F.struct("n", "uid", "p"), F.xxhash64(F.lit(turn), "uid", "item")).alias("hub"))
+        smaller = F.struct("n", "uid") < F.struct("hub.n", "hub.uid")
+        length = F.when(smaller, _pair_filter(F.col("n"), F.col("p"), F.col("hub.n"), F.col("hub.p"), percent)).otherwise(_pair_filter(F.col("hub.n"), F.col("hub.p"), F.col("n"), F.col("p"), percent))
+        stars = listed.join(hubs, "item").where(F.col("uid") != F.col("hub.uid")).where(length).select(F.col("uid").alias("v"), F.col("hub.uid").alias("u"))
+        few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64(F.lit(turn), "u").alias("h"), "u"))), 1, WEIGHED)  # of one node's prefix
+        stars = stars.groupBy("v").agg(few.alias("few")).select("v", F.explode("few.u").alias("u"))
+        stars = staged(_suffix_filter(_across(stars, labels).select("u", "v"), parities, percent), "join-stars")
+        best = stars.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        best = staged(best, "join-best")
+        if sets is None:
+            ends = stars.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
+            sets = _sets(docs, near.join(ends, "uid", "left_semi"), n)
+        labels = _merged(labels, _verified(best, sets, percent))
+
+    # Components that share a prefix n-gram, then their members.
+    marked = listed.join(labels.toDF("uid", "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    mixed = marked.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("item")
+    held = staged(marked.join(mixed, "item", "left_semi").groupBy("item", "root").agg(F.min("n").alias("low"), F.max("n").alias("high")), "join-held")
+    a, b = held.toDF("item", "ra", "la", "ha"), held.toDF("item", "rb", "lb", "hb")
+    fits = (100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la"))
+    groups = staged(a.join(b, "item").where("ra < rb").where(fits).select("ra", "rb").distinct(), "join-groups")
+    member = parities.join(labels.toDF("uid", "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    # The smaller component's members go to the larger one's, whose members move once.
+    count = member.groupBy("root").agg(F.count("*").alias("m"))
+    groups = groups.join(count.toDF("ra", "ma"), "ra").join(count.toDF("rb", "mb"), "rb")
+    swap = F.struct("ma", "ra") > F.struct("mb", "rb")
+    groups = groups.select(F.when(swap, F.col("rb")).otherwise(F.col("ra")).alias("ra"), F.when(swap, F.col("ra")).otherwise(F.col("rb")).alias("rb"))
+    x, y = member.toDF("u", "xn", "xp", "ra"), member.toDF("v", "yn", "yp", "rb")
+    size = (100 * F.col("xn") >= percent * F.col("yn")) & (100 * F.col("yn") >= percent * F.col("xn"))
+    differ = F.col("xn") + F.col("yn") - _apart("xp", "yp") >= 2 * _needed(F.col("xn"), F.col("yn"), percent)
+    rest = groups.join(x, "ra").join(y, "rb").where(size).where(differ).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), _apart("xp", "yp").alias("apart"))
+    rest = staged(rest, "join-rest")
+    known = sets.select("uid")
+    more = near.join(rest.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "uid", "left_semi").join(known, "uid", "left_anti")
+    if not more.isEmpty():
+        sets = sets.unionByName(_sets(docs, staged(more, "join-more"), n))
+    first = _across(rest, labels).groupBy("ru", "rv").agg(F.min_by(F.struct("u", "v"), F.struct("apart", "u", "v")).alias("e")).select("e.u", "e.v")
+    first = staged(first, "join-first")
+    labels = _merged(labels, _verified(first, sets, percent))
+    left = staged(_across(rest, labels).join(first, ["u", "v"], "left_anti").select("u", "v"), "join-left")
+    return labels if left.isEmpty() else _merged(labels, _verified(left, sets, percent))
+
+
 def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: rid, doc_id, text_key, n_shingles, component_id and keeper (the row of its component that stays)."""
     rows = staged(signatures(docs, recurring(docs, n), n, percent), "join-rows")
     full = rows.where("n_shingles > 0")
-    groups = staged(full.groupBy("sig").agg(F.min("rid").alias("uid"), F.min("doc_id").alias("low"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "rid")).alias("first")), "join-groups")
-    nodes = staged(full.join(groups.select("uid"), full["rid"] == F.col("uid"), "left_semi").withColumnRenamed("rid", "uid"), "join-nodes")
-    listed = nodes.select("uid", F.col("n_shingles").alias("n"), "n_index", F.posexplode("prefix").alias("p", "item"))
-
-    # Each node against the smallest one under each of its prefix n-grams.
-    hubs = listed.where("p < n_index").groupBy("item").agg(F.min(F.struct("n", "uid", "p")).alias("hub"))
-    several = listed.groupBy("item").agg(F.count("*").alias("m")).where("m > 1").select("item")
-    hubs = hubs.join(several, "item", "left_semi")
-    stars = (
-        listed.join(hubs, "item")
-        .where(F.struct("n", "uid") > F.struct("hub.n", "hub.uid"))
-        .where(_pair_filter(F.col("hub.n"), F.col("hub.p"), F.col("n"), F.col("p"), percent))
-        .select(F.col("hub.uid").alias("u"), F.col("uid").alias("v")).distinct()
-    )
-    stars = staged(stars, "join-stars")
-    links = _verified(stars, nodes, docs, n, percent)
-    labels = staged(connected(links), "join-labels")
-
-    # What shares a prefix n-gram, but no component yet.
-    marked = listed.join(labels.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    mixed = marked.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("item")
-    open_ = staged(marked.join(mixed, "item", "left_semi"), "join-open")
-    others = open_.select("item", F.col("root").alias("other")).distinct()
-    x = open_.where("p < n_index").join(others, "item").where("root <> other").select("item", "other", F.col("uid").alias("u"), F.col("n").alias("un"), F.col("p").alias("up"))
-    y = open_.select("item", F.col("root").alias("other"), F.col("uid").alias("v"), F.col("n").alias("vn"), F.col("p").alias("vp"))
-    rest = (
-        x.join(y, ["item", "other"])
-        .where(F.struct("un", "u") < F.struct("vn", "v"))
-        .where(_pair_filter(F.col("un"), F.col("up"), F.col("vn"), F.col("vp"), percent))
-        .select("u", "v").distinct()
-        .join(stars, ["u", "v"], "left_anti")
-    )
-    more = _verified(staged(rest, "join-rest"), nodes, docs, n, percent)
-    if more.limit(1).count():
-        tops = labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        labels = staged(connected(tops.unionByName(more)), "join-labels")
-
-    of_group = groups.join(labels.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    groups = full.groupBy("sig").agg(F.min("rid").alias("uid"), F.min("doc_id").alias("low"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "rid")).alias("first"))
+    groups = staged(groups, "join-groups")
+    nodes = full.join(groups.select("uid"), full["rid"] == F.col("uid"), "left_semi").withColumnRenamed("rid", "uid")
+    labels = component_labels(docs, staged(nodes.drop("sig"), "join-nodes"), n, percent)
+    of_group = groups.join(labels.toDF("uid", "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     of_root = of_group.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("keeper"))
     of_sig = staged(of_group.join(of_root, "root").select("sig", "component_id", F.col("keeper.rid").alias("keeper")), "join-components")
     return (
