@@ -2,9 +2,11 @@
 
 Texts become templates: numbers, names (capitalised words within a sentence) and units after numbers turn into typed
 placeholders, all other words into their lower-cased core. Windows of `WINDOW` template tokens of documents and benchmark
-items meet in a hash join. Windows of one document and item at one shift form an alignment; its slots must be consistent:
-a value of the item has one value in the document. An alignment counts from `MIN_TOKENS` tokens (or the whole item, if it
-is shorter), and is exact if all slots hold the item's own values, else re-parameterised.
+items meet in a hash join, and so do windows of `MIN_TOKENS` tokens (or of the whole item, if it is shorter). Windows of one
+document and item at one shift form an alignment; its slots must be consistent: a value of the item has one value in the
+document. An alignment counts from `MIN_TOKENS` tokens (or the whole item, if it is shorter), by one long window or by enough
+short ones, and is exact if all slots hold the item's own values, else re-parameterised. Windows with too few words to tell
+them from other lists of numbers or names (fewer than half of a short window, or than `LEAST_WORDS`) match by equal values.
 
 Defined cases: null texts have no windows; items of fewer than `SHORTEST` tokens can't be told from chance and take no
 part, items of fewer than `WINDOW` tokens match as a whole; rows that repeat id and text give one result row; null ids are
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from credence.llm._common import coded_words, slices, staged
 
 WINDOW, MIN_TOKENS, SHORTEST = 8, 13, 4
+#: Words (no slots) from which a window stands for itself whatever its slots hold.
+LEAST_WORDS = 4
 #: Benchmark windows up to this number (8 bytes each) are sent to the tasks, which then emit only windows that can match;
 #: beyond it all windows go to the join.
 BROADCAST_WINDOWS = 1_000_000
@@ -80,19 +84,24 @@ def templates(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return token, value, kind != KIND_WORD, rows, place
 
 
-def window_hashes(token: np.ndarray, slot: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of `size` tokens; at least half of a window's tokens are words."""
-    n = len(token) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes, slots = np.full(n, size, np.uint64), np.zeros(n, np.int16)
+def window_hashes(token: np.ndarray, value: np.ndarray, slot: np.ndarray, rows: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Size, starts and hashes of the windows of each size; windows with too few words are hashed with the values of their slots."""
+    marks = np.concatenate([[0], np.cumsum(slot, dtype=np.int64)])
+    running = np.zeros(len(token), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(size):
-            hashes = (hashes ^ token[k : k + n]) * STEP
-            hashes ^= hashes >> np.uint64(29)
-            slots += slot[k : k + n]
-    at = np.flatnonzero((rows[:n] == rows[size - 1 :]) & (2 * slots <= size))
-    return at, hashes[at]
+        for k in range(max(sizes)):
+            size, n = k + 1, max(len(token) - k, 0)
+            running = (running[:n] ^ token[k:]) * STEP
+            running ^= running >> np.uint64(29)
+            if size not in sizes:
+                continue
+            at = np.flatnonzero(rows[:n] == rows[k:])
+            hashes = (running[at] ^ np.uint64(size)) * STEP
+            few = np.flatnonzero(2 * (size - marks[at + size] + marks[at]) < min(size, 2 * LEAST_WORDS))
+            for j in range(size):
+                hashes[few] = (hashes[few] ^ value[at[few] + j]) * STEP
+                hashes[few] ^= hashes[few] >> np.uint64(29)
+            yield size, at, hashes
 
 
 def _windows(part: pa.RecordBatch, key: str, sizes: list[int], wanted: np.ndarray | None, whole: bool) -> pa.RecordBatch:
@@ -100,10 +109,9 @@ def _windows(part: pa.RecordBatch, key: str, sizes: list[int], wanted: np.ndarra
     token, value, slot, rows, place = templates(part.column("text"))
     length = np.bincount(rows, minlength=part.num_rows)
     out: list[tuple] = []
-    for size in sizes:
-        at, hashes = window_hashes(token, slot, rows, size)
+    for size, at, hashes in window_hashes(token, value, slot, rows, sizes):
         if whole:
-            fits = length[rows[at]] >= WINDOW if size == WINDOW else length[rows[at]] == size
+            fits = length[rows[at]] >= size if size in (WINDOW, MIN_TOKENS) else length[rows[at]] == size
             at, hashes = at[fits], hashes[fits]
         if wanted is not None and len(at):
             near = np.searchsorted(wanted, hashes)
@@ -138,7 +146,7 @@ def template_windows(texts: DataFrame, key: str, sizes: list[int], wanted: np.nd
 
 def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row for each document and item that it contains: doc_id, text_key, item_id, kind, n_windows, coverage, position."""
-    items = staged(template_windows(benchmark, "item_id", list(range(SHORTEST, WINDOW + 1)), whole=True), "benchmark-windows")
+    items = staged(template_windows(benchmark, "item_id", list(range(SHORTEST, MIN_TOKENS + 1)), whole=True), "benchmark-windows")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [WINDOW]
     wanted = None
     hashes = items.select("hash").distinct()

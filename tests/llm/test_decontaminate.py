@@ -42,3 +42,20 @@ def test_catches_the_verbatim_passages_and_no_clean_document(spark):
     got = {r.doc_id for r in dc.contamination(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark")).collect()}
     want = {r[0] for r in duckdb.connect().execute(f"select distinct doc_id from '{sf}/documents.parquet' d join '{sf}/benchmark.parquet' b on contains(d.text, b.text)").fetchall()}
     assert got == want
+
+
+def test_items_rich_in_numbers_and_names(spark):
+    items = [
+        (1, "Calculate 12 + 30 * 4 - 18 / 6 and round to 2 digits."),
+        (2, "Find the mean of 12, 15, 18, 21, 24, 27 and 30."),
+        (3, "Which cities did Anna Maria Keller, John Smith and Peter Paul Rubens visit?"),
+        (4, "Sort 5 3 9 1 7 2"),
+        (5, "Table of 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 squares"),
+    ]
+    pad, found = "Some other words stand here before all of it. ", {}
+    docs = [(i, pad + text + " And then more.", 0) for i, text in items]
+    found |= {(i, i): "exact" for i, _ in items}
+    docs += [(11, pad + items[0][1].replace("12", "55").replace("30", "77"), 0), (12, pad + items[1][1].replace("24", "99"), 0), (13, pad + items[2][1].replace("Smith", "Miller"), 0)]
+    found |= {(10 + i, i): "reparameterised" for i in (1, 2, 3)}
+    docs += [(24, pad + items[3][1].replace("9", "8"), 0), (25, pad + "We counted " + " ".join(map(str, range(40, 60))), 0)]  # lists of other numbers
+    assert run(spark, docs, items) == found
