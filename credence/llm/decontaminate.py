@@ -7,6 +7,8 @@ document and item at one shift form an alignment; its slots must be consistent:
 document. An alignment counts from `MIN_TOKENS` tokens (or the whole item, if it is shorter), by one long window or by enough
 short ones, and is exact if all slots hold the item's own values, else re-parameterised. Windows with too few words to tell
 them from other lists of numbers or names (fewer than half of a short window, or than `LEAST_WORDS`) match by equal values.
+An item's first word may be a name or a unit by what stands before it in the document (a heading, a list number); there it
+must be the same word.
 
 Defined cases: null texts have no windows; items of fewer than `SHORTEST` tokens can't be told from chance and take no
 part, items of fewer than `WINDOW` tokens match as a whole; rows that repeat id and text give one result row; null ids are
@@ -61,8 +63,9 @@ def _word_facts(word: str) -> tuple[int, int, bool, bool, bool]:
     return xxhash.xxh3_64_intdigest(lowered), kind, lowered in UNITS, word[-1:] in ".!?:" or word[-2:-1] in ".!?", not core
 
 
-def templates(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slice: template hash, value hash, slot mark and row of each token, and the token's place in its text."""
+def templates(text: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of a slice: template hash, value hash, slot mark and row of each token, and the token's place in its text; words that
+    would be names, and those that would be units, after other tokens than theirs."""
     words, codes, rows = coded_words(text, lower=False)
     facts = [_word_facts(w) for w in words.to_pylist()]
     value = np.array([f[0] for f in facts], np.uint64)[codes]
@@ -74,6 +77,7 @@ def templates(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     same[1:] = rows[1:] == rows[:-1]
     starts = np.ones(n, bool)
     starts[1:] = ~same[1:] | (ends[:-1] > 0)
+    would = [(kind == KIND_NAME) & starts, (unit > 0) & ((kind == KIND_WORD) | (kind == KIND_NAME) & starts)]
     kind = np.where((kind == KIND_NAME) & starts, KIND_WORD, kind)
     after_number = np.zeros(n, bool)
     after_number[1:] = same[1:] & (kind[:-1] == KIND_NUMBER)
@@ -81,7 +85,7 @@ def templates(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     token = np.where(kind == KIND_WORD, value, PLACEHOLDERS[kind])
     first = np.flatnonzero(~same)
     place = np.arange(n) - np.repeat(first, np.diff([*first, n])) if n else np.zeros(0, np.int64)
-    return token, value, kind != KIND_WORD, rows, place
+    return token, value, kind != KIND_WORD, rows, place, *(w & (kind == KIND_WORD) for w in would)
 
 
 def window_hashes(token: np.ndarray, value: np.ndarray, slot: np.ndarray, rows: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -105,34 +109,40 @@ def window_hashes(token: np.ndarray, value: np.ndarray, slot: np.ndarray, rows:
 
 
 def _windows(part: pa.RecordBatch, key: str, sizes: list[int], wanted: np.ndarray | None, whole: bool) -> pa.RecordBatch:
-    """whole: windows as of benchmark items, where a short text is one window."""
-    token, value, slot, rows, place = templates(part.column("text"))
+    """whole: windows as of benchmark items, where a short text is one window, and first words are also names or units."""
+    token, value, slot, rows, place, named, unit = templates(part.column("text"))
     length = np.bincount(rows, minlength=part.num_rows)
     out: list[tuple] = []
-    for size, at, hashes in window_hashes(token, value, slot, rows, sizes):
-        if whole:
-            fits = length[rows[at]] >= size if size in (WINDOW, MIN_TOKENS) else length[rows[at]] == size
-            at, hashes = at[fits], hashes[fits]
-        if wanted is not None and len(at):
-            near = np.searchsorted(wanted, hashes)
-            fits = wanted[np.minimum(near, len(wanted) - 1)] == hashes if len(wanted) else np.zeros(len(at), bool)
-            at, hashes = at[fits], hashes[fits]
-        marks = slot[at[:, None] + np.arange(size)] if len(at) else np.zeros((0, size), bool)
-        values = value[at[:, None] + np.arange(size)][marks].view(np.int64) if len(at) else np.zeros(0, np.int64)
-        offsets = np.concatenate([[0], np.cumsum(marks.sum(1))])
-        out.append((rows[at], hashes.view(np.int64), place[at], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)), length[rows[at]], np.full(len(at), size)))
-    rows_, hash_, place_, slots_, length_, size_ = zip(*out)
+    forms = [(None, KIND_WORD)] + ([(named & (place == 0), KIND_NAME), (unit & (place == 0), KIND_UNIT)] if whole else [])
+    for first, kind in forms:
+        tokens, slots = (token, slot) if first is None else (np.where(first, PLACEHOLDERS[kind], token), slot | first)
+        for size, at, hashes in window_hashes(tokens, value, slots, rows, sizes):
+            if first is not None:
+                at, hashes = at[first[at]], hashes[first[at]]
+            if whole:
+                fits = length[rows[at]] >= size if size in (WINDOW, MIN_TOKENS) else length[rows[at]] == size
+                at, hashes = at[fits], hashes[fits]
+            if wanted is not None and len(at):
+                near = np.searchsorted(wanted, hashes)
+                fits = wanted[np.minimum(near, len(wanted) - 1)] == hashes if len(wanted) else np.zeros(len(at), bool)
+                at, hashes = at[fits], hashes[fits]
+            marks = slots[at[:, None] + np.arange(size)] if len(at) else np.zeros((0, size), bool)
+            values = value[at[:, None] + np.arange(size)][marks].view(np.int64) if len(at) else np.zeros(0, np.int64)
+            offsets = np.concatenate([[0], np.cumsum(marks.sum(1))])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+            out.append((rows[at], hashes.view(np.int64), place[at], lists, length[rows[at]], np.full(len(at), size), np.full(len(at), first is not None)))
+    rows_, hash_, place_, slots_, length_, size_, fixed_ = zip(*out)
     at = np.concatenate(rows_)
     columns = [part.column(key).take(pa.array(at)), part.column("text_key").take(pa.array(at))]
-    columns += [pa.array(np.concatenate(hash_)), pa.array(np.concatenate(place_), pa.int32()), pa.concat_arrays(slots_), pa.array(np.concatenate(length_), pa.int32()), pa.array(np.concatenate(size_), pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, names=[key, "text_key", "hash", "place", "slots", "length", "size"])
+    columns += [pa.array(np.concatenate(hash_)), pa.array(np.concatenate(place_), pa.int32()), pa.concat_arrays(slots_), pa.array(np.concatenate(length_), pa.int32()), pa.array(np.concatenate(size_), pa.int32()), pa.array(np.concatenate(fixed_))]
+    return pa.RecordBatch.from_arrays(columns, names=[key, "text_key", "hash", "place", "slots", "length", "size", "fixed"])
 
 
-WINDOW_COLUMNS = "text_key long, hash long, place int, slots array<long>, length int, size int"
+WINDOW_COLUMNS = "text_key long, hash long, place int, slots array<long>, length int, size int, fixed boolean"
 
 
 def template_windows(texts: DataFrame, key: str, sizes: list[int], wanted: np.ndarray | None = None, whole: bool = False) -> DataFrame:
-    """Windows of every whole text: key, text_key, hash, place, slot values, and the text's length in tokens."""
+    """Windows of every whole text: key, text_key, hash, place, slot values, the text's length in tokens, and whether the first slot's value is fixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -154,10 +164,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
         wanted = np.sort(np.array([r["hash"] for r in hashes.collect()], np.int64).view(np.uint64))
     hits = template_windows(docs, "doc_id", sizes, wanted)
     ours = hits.select("doc_id", "text_key", "hash", F.col("place").alias("d"), F.col("slots").alias("d_slots"))
-    theirs = items.select("item_id", F.col("text_key").alias("item_key"), "hash", F.col("place").alias("b"), F.col("slots").alias("b_slots"), "length", "size")
+    theirs = items.select("item_id", F.col("text_key").alias("item_key"), "hash", F.col("place").alias("b"), F.col("slots").alias("b_slots"), "length", "size", "fixed")
     pairs = F.arrays_zip(F.col("b_slots").alias("b"), F.col("d_slots").alias("d"))
     aligned = (
-        ours.join(theirs, "hash")
+        ours.join(theirs, "hash").where(~F.col("fixed") | (F.col("b_slots")[0] == F.col("d_slots")[0]))
         .groupBy("doc_id", "text_key", "item_id", "item_key", (F.col("d") - F.col("b")).alias("shift"), "length", "size")
         .agg(F.collect_set(F.struct("b", pairs.alias("pairs"))).alias("found"))  # of one alignment: as long as the item at most
         .withColumn("n_windows", F.size("found"))

@@ -59,3 +59,11 @@ def test_items_rich_in_numbers_and_names(spark):
     found |= {(10 + i, i): "reparameterised" for i in (1, 2, 3)}
     docs += [(24, pad + items[3][1].replace("9", "8"), 0), (25, pad + "We counted " + " ".join(map(str, range(40, 60))), 0)]  # lists of other numbers
     assert run(spark, docs, items) == found
+
+
+def test_first_word_after_text_without_a_sentence_end(spark):
+    items = [(1, SHORT), (2, "In which year did the old tower fall?"), (3, "days pass slowly in the old harbour"), (4, "Days are longer in the far north")]
+    before = ["", "Question 5\n", "Question five\n", "5. ", "5) ", "A heading "]
+    docs = [(10 * i + k, b + text, 0) for i, text in items for k, b in enumerate(before)]
+    docs += [(91, "Question 5\n" + SHORT.replace("What", "Nothing"), 0), (92, "5. " + items[1][1].replace("In", "Cm"), 0)]  # other first words
+    assert run(spark, docs, items) == {(10 * i + k, i): "exact" for i, _ in items for k in range(len(before))}
