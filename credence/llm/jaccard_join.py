@@ -329,6 +329,26 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     return near_components(docs, n, percent).select("doc_id", "n_shingles", "component_id")
 
 
+def near_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per row of docs: doc_id and n_links, the other rows that it links with. Every candidate pair of nodes is verified, also within components."""
+    rows = staged(signatures(docs, recurring(docs, n), n, percent), "links-rows")
+    full = rows.where("n_shingles > 0")
+    groups = staged(full.groupBy("sig").agg(F.min("rid").alias("uid"), F.count("*").alias("copies")), "links-groups")
+    nodes = full.join(groups.select("uid"), full["rid"] == F.col("uid"), "left_semi").withColumnRenamed("rid", "uid").drop("sig")
+    nodes = staged(nodes, "links-nodes")
+    listed = _shared_items(nodes).drop("n_index")
+    x, y = listed.toDF("item", "u", "xn", "xp"), listed.toDF("item", "v", "yn", "yp")
+    pairs = x.join(y, "item").where(F.struct("xn", "u") < F.struct("yn", "v")).where(_pair_filter(F.col("xn"), F.col("xp"), F.col("yn"), F.col("yp"), percent))
+    pairs = staged(_suffix_filter(pairs.select("u", "v").distinct(), nodes.select("uid", "n_shingles", "parity"), percent), "links-pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
+    links = _verified(pairs, _sets(docs, staged(nodes.join(ends, "uid", "left_semi"), "links-ends"), n), percent)
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    copies = groups.select(F.col("uid").alias("v"), "copies")
+    of_node = both.join(copies, "v").groupBy(F.col("u").alias("uid")).agg(F.sum("copies").alias("others"))
+    of_sig = groups.join(of_node, "uid", "left").select("sig", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.select("doc_id", "sig").join(of_sig, "sig", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component: that of the smallest id. Rows without words all stay."""
     found = staged(near_components(docs, n, percent), "join-found")
