@@ -37,6 +37,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table of fewer splits than the session has cores over all of them; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def crc_bucket(key: Column, mod: int) -> Column:
     """crc32 of the key as text, modulo; null keys count as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % mod
@@ -78,15 +84,24 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def summed_rows(parts: DataFrame, width: int) -> dict[int, np.ndarray]:
-    """Sums arrays of one width by `at`, in the order of their partitions; the caller bounds the number of `at`.
+#: Arrays that meet in one group of the first of the two sums of summed_rows(): one of so many of the parts.
+SUM_GROUPS = 256
+
+
+def summed_rows(parts: DataFrame, width: int, n_parts: int | None = None) -> dict[int, np.ndarray]:
+    """Sums arrays of one width by `at`, in the order of their parts; the caller bounds the number of `at`.
 
-    parts: at int, part int, sums array<double>. Each group holds one array from each task, never rows of the corpus.
+    parts: at int, part int, sums array<double>. A tree of two levels (one, if there are known to be SUM_GROUPS parts at
+    most): no group holds more than the larger of SUM_GROUPS arrays and one in SUM_GROUPS of all, and never rows of the corpus.
     """
 
     def add(pdf):
         pdf = pdf.sort_values("part")
-        return type(pdf)({"at": pdf["at"][:1].to_numpy(), "sums": [np.sum(np.stack(pdf["sums"].to_list()), axis=0)]})
+        return type(pdf)({"at": pdf["at"][:1].to_numpy(), "part": pdf["part"][:1].to_numpy() % SUM_GROUPS, "sums": [np.sum(np.stack(pdf["sums"].to_list()), axis=0)]})
 
-    total = parts.groupBy("at").applyInPandas(add, "at int, sums array<double>")
+    shape = "at int, part int, sums array<double>"
+    some = parts
+    if n_parts is None or n_parts > SUM_GROUPS:
+        some = parts.groupBy("at", F.pmod("part", F.lit(SUM_GROUPS))).applyInPandas(add, shape)
+    total = some.groupBy("at").applyInPandas(add, shape)
     return {r["at"]: np.asarray(r["sums"], np.float64).reshape(width) for r in total.collect()}
