@@ -3,17 +3,27 @@
 A document's set holds the hashes (64 bits) of its distinct word n-grams. Equal sets become one node. All sets are put in
 one global order, rare n-grams first: n-grams that recur within a task's share are counted over all documents, and the
 `ORDER_LIST` most frequent of them come last, by count; any order gives the same links, a good one gives fewer candidates.
-Nodes whose prefixes share an n-gram are candidates; length, positional and suffix filter (fixed pivots cut the order of
-hashes in 2048 ranges; two sets differ by at least as many n-grams as ranges in which one size is odd and one even) drop
-those that can't link, and the rest is verified once per pair.
+Two nodes are candidates if an n-gram stands in the smaller one's index prefix and in the other one's probe prefix. Of
+n-grams that the very same nodes have in their prefixes, the first in the order stands for all. Length filter, positional
+filter and suffix filter (fixed pivots cut the order of hashes in 2048 ranges; two sets differ by at least as many n-grams
+as ranges in which one size is odd and one even) drop candidates that can't link; the rest is verified by whole sets.
 
-Large groups are not expanded into all pairs, as a pair within a component can't change the components. In turns, each node
-is compared with one node of each of its prefix n-grams (another one each turn), and the most promising of these pairs that
-lie in different components is verified. At last, components that share a prefix n-gram are compared member by member, and
-every pair of different components that passes the filters is verified. No candidate is dropped.
+Large groups are not expanded into all pairs, as a pair within a component can't change the components:
+
+1. In turns, until one merges nothing (`TURNS` at most), each node meets one node of each of its prefix n-grams, another one
+   each turn, and the most promising pair that lies in two components is verified.
+2. The nodes of each prefix n-gram that still has several components meet in blocks of `BLOCK`; a block pair is filtered in
+   numpy and gives only pairs of different components that pass all filters: first the best of any two components, then,
+   when these are verified, all others that still lie in two components and weren't verified before.
+3. Links only join nodes of one component. Their number is counted within components, again by pairs of blocks, whose
+   common n-grams are counted exactly by products of 0/1 matrices; a block pair gives one number for each node.
+
+No candidate is dropped, and none is verified twice for the components. Steps 2 and 3 compare within a group by arithmetic
+that grows with its square, but what they shuffle grows with its size (times the group's number of blocks).
 
 Defined cases: texts without words, or null, have empty sets and link with nothing; fewer words than n make one n-gram;
-null ids are no smallest id unless a component has no other; repeated rows are one node; further columns are ignored.
+null ids are no smallest id unless a component has no other; repeated rows are one node and link with each other; further
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm._common import coded_words, slices, staged
+from credence.llm._common import coded_words, free_name, slices, staged
 from credence.llm.components import connected
 
 WORDS, PERCENT = 3, 90
@@ -36,11 +46,14 @@ WORDS, PERCENT = 3, 90
 ORDER_LIST = 500_000
 #: Occurrences within about so many n-grams of one task at which an n-gram counts as recurring.
 RECURS, COUNT_AT = 3, 2_000_000
-RANGES, TURNS = 2048, 2
-#: Pairs of one node that are weighed in a turn; what is left over waits for the last comparison, which is whole.
+RANGES, TURNS = 2048, 4
+#: Pairs of one node that are weighed in a turn; what is left over waits for the blocks, which leave out nothing.
 WEIGHED = 6
-#: Cells of the filter that spares n-grams of nodes without candidates; false alarms only cost time.
-CELLS = 1 << 22
+#: Nodes of a block, and pairs (or columns) that a task compares at a time.
+BLOCK, AT_ONCE, COLUMNS = 1024, 1 << 16, 2048
+#: Bits of the filters that spare n-grams and texts without candidates: about eight for each wanted one, but no more than
+#: MOST_BITS (16 MB); false alarms only cost time, as an exact join follows.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -141,8 +154,8 @@ def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], n: int = W
             if len(listed):
                 at = np.minimum(np.searchsorted(listed, item), len(listed) - 1)
                 often = np.where(listed[at] == item, counts[at], 0)
-            odd = (np.bincount(row * RANGES + (item >> np.uint64(53)).astype(np.int64), minlength=m * RANGES) & 1).astype(np.uint8)
-            parity = np.packbits(odd).view(np.int64)
+            parity = np.zeros(m * (RANGES // 64), np.uint64)
+            np.bitwise_xor.at(parity, row * (RANGES // 64) + (item >> np.uint64(59)).astype(np.int64), np.uint64(1) << ((item >> np.uint64(53)) & np.uint64(63)))
             rare_first = np.lexsort((item, often, row))
             probe, index = _prefix_sizes(size, percent)
             probe = np.where(size > 0, probe, 0)
@@ -152,7 +165,7 @@ def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], n: int = W
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(rid, rid + m)), part.column("doc_id"), part.column("text_key"), pa.array(size.astype(np.int64)), pa.array(signs, pa.binary()), lists,
-                    pa.array(np.where(size > 0, index, 0).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * (RANGES // 64), pa.int32()), pa.array(parity)),
+                    pa.array(np.where(size > 0, index, 0).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * (RANGES // 64), pa.int32()), pa.array(parity.view(np.int64))),
                 ],
                 names=[c.split()[0] for c in ROW.split(", ")],
             )
@@ -172,28 +185,38 @@ def _pair_filter(xn: Column, xp: Column, yn: Column, yp: Column, percent: int) -
     return (100 * xn >= percent * yn) & (most >= _needed(xn, yn, percent))
 
 
-def _cells(keys: DataFrame, cell: Column) -> np.ndarray:
-    """Bitmap of the cells that occur: a filter of fixed size."""
-    cells = np.zeros(CELLS, bool)
-    cells[keys.select(cell.cast("int").alias("c")).distinct().toArrow().column("c").to_numpy()] = True
-    return np.packbits(cells)
+def _filter_bits(wanted: DataFrame, key: Column) -> np.ndarray:
+    """Bits of the hashed keys that occur, packed in 64-bit words; their number is a power of two."""
+    n, bits = wanted.count(), LEAST_BITS
+    while bits < min(8 * n, MOST_BITS):
+        bits *= 2
+    places = wanted.select(F.pmod(key, F.lit(bits)).alias("place"))
+    words = places.selectExpr("cast(place div 64 as int) w", "shiftleft(1L, cast(place % 64 as int)) b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def _known(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    place = key % (64 * len(bits))  # numpy's sign is pmod's
+    return (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
 def _shared_items(nodes: DataFrame) -> DataFrame:
-    """Prefix n-grams that two or more nodes have, with these nodes: item, uid, n, n_index, p."""
+    """Prefix n-grams that two or more nodes have, with these nodes: item, uid, n, n_index, p. Of n-grams with the same
+    nodes only the first in the order is there; it comes first in all of them."""
     several = nodes.select(F.explode("prefix").alias("item")).groupBy("item").agg(F.count("*").alias("m")).where("m > 1").select("item")
     several = staged(several, "join-items")
-    cells = _cells(several, F.pmod(F.col("item"), F.lit(CELLS)))
-    shared = nodes.sparkSession.sparkContext.broadcast(cells)
+    shared = nodes.sparkSession.sparkContext.broadcast(_filter_bits(several, F.col("item")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).astype(bool)
+        bits = shared.value
         for batch in batches:
             lists = batch.column("prefix")
             item, row = lists.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
             size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             place = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)
-            keep = known[item % CELLS]
+            keep = _known(bits, item)
             at = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(item[keep]), batch.column("uid").take(at), batch.column("n_shingles").take(at), batch.column("n_index").take(at), pa.array(place[keep].astype(np.int32))],
@@ -201,25 +224,28 @@ def _shared_items(nodes: DataFrame) -> DataFrame:
             )
 
     listed = nodes.select("uid", "n_shingles", "n_index", "prefix").mapInArrow(run, "item long, uid long, n long, n_index int, p int")
-    return staged(listed.join(several, "item", "left_semi"), "join-listed")
+    listed = staged(listed.join(several, "item", "left_semi"), "join-listed")
+    alike = (F.count("*").alias("m"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("y"), F.min(F.struct("uid", "p")).alias("first"))
+    kept = listed.groupBy("item").agg(*alike).groupBy("m", "x", "y").agg(F.min_by("item", F.struct("first.p", "item")).alias("item"), F.first("m").alias("size")).select("item", F.col("size").alias("m"))
+    return staged(listed.join(kept, "item"), "join-shared")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """uid and whole set of the given nodes, from their texts."""
-    cell = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(CELLS)).cast("int")
-    shared = docs.sparkSession.sparkContext.broadcast(_cells(nodes, cell))
+    key = F.xxhash64("doc_id", "text_key")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(nodes, key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).astype(bool)
+        bits = shared.value
         for batch in batches:
-            batch = batch.filter(pa.array(known[batch.column("cell").to_numpy()]))
+            batch = batch.filter(pa.array(_known(bits, batch.column("cell").to_numpy())))
             for part in slices(iter([batch])):
                 row, item = ngram_sets(part.column("text"), n)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(item.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), lists], names=["doc_id", "text_key", "items"])
 
-    sets = _texts(docs).withColumn("cell", cell).mapInArrow(run, "doc_id long, text_key long, items array<long>")
+    sets = _texts(docs).withColumn("cell", key).mapInArrow(run, "doc_id long, text_key long, items array<long>")
     key = nodes.select("uid", F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"))
     sets = sets.join(key, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))).select("uid", "items").dropDuplicates(["uid"])
     return staged(sets, "join-sets")
@@ -243,125 +269,254 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return staged(both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v"), "join-links")
 
 
+def _rooted(nodes: DataFrame, labels: DataFrame, uid: str = "uid", root: str = "root") -> DataFrame:
+    """nodes with the root of their component, by default themselves."""
+    return nodes.join(labels.select(F.col("node").alias(uid), F.col("root").alias(root)), uid, "left").withColumn(root, F.coalesce(root, uid))
+
+
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components, with these: ru, rv."""
-    roots = labels.select("node", "root")
-    both = pairs.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left")
-    return both.withColumn("ru", F.coalesce("ru", "u")).withColumn("rv", F.coalesce("rv", "v")).where("ru <> rv")
+    return _rooted(_rooted(pairs, labels, "u", "ru"), labels, "v", "rv").where("ru <> rv")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(connected(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)), "join-labels")
 
 
-def component_labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """node and root of all nodes that have a link."""
+def _in_blocks(rows: DataFrame, group: str, m: str) -> DataFrame:
+    """Deals the rows of each group (m of them) in blocks and gives each row to all pairs of blocks that its block is in: lo, hi, block."""
+    blocks = F.ceil(F.col(m) / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "uid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other", m)
+    return rows.repartition(F.col(group), F.col("lo"), F.col("hi")).sortWithinPartitions(group, "lo", "hi", "n", "uid")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by (group, lo, hi), cut so that no group of block pairs is torn, and where these begin (and the end)."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(batch: pa.RecordBatch) -> np.ndarray:
+        keys = [batch.column(c).to_numpy() for c in (group, "lo", "hi")]
+        new = np.zeros(batch.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.concat_batches([*held, batch])
+        starts = cut(whole)
+        held = [whole.slice(starts[-1])]
+        if len(starts) > 1:
+            yield whole.slice(0, starts[-1]), starts
+    if held:
+        yield held[0], np.array([0, held[0].num_rows])
+
+
+def block_candidates(marked: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of different components that share a prefix n-gram and pass all filters: u, v, apart; with best, only the
+    best of any two components in a pair of blocks.
+
+    marked: item, uid, n, n_index, p, m (nodes of the item), root, parity.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cuts in _whole_groups(batches, "item"):
+            uid, n, index, p, root, block, lo, hi = (batch.column(c).to_numpy().astype(np.int64) for c in ("uid", "n", "n_index", "p", "root", "block", "lo", "hi"))
+            parity = batch.column("parity").flatten().to_numpy().view(np.uint64).reshape(-1, RANGES // 64)
+            end = np.repeat(cuts[1:], np.diff(cuts))
+            later = end - np.arange(len(uid)) - 1  # rows are sorted by n: the first of a pair is the smaller one
+            upto = np.cumsum(later)
+            found: list[tuple] = []
+            at = 0
+            while at < len(uid):
+                stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, "right")))
+                x = np.repeat(np.arange(at, stop), later[at:stop])
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later[at:stop]) - later[at:stop], later[at:stop])
+                at = stop
+                most = np.minimum(p[x], p[y]) + 1 + np.minimum(n[x] - p[x], n[y] - p[y]) - 1
+                needed = -(-percent * (n[x] + n[y]) // (100 + percent))
+                keep = (root[x] != root[y]) & ((lo[x] == hi[x]) | (block[x] != block[y])) & (100 * n[x] >= percent * n[y]) & (p[x] < index[x]) & (most >= needed)
+                x, y, needed = x[keep], y[keep], needed[keep]
+                apart = np.bitwise_count(parity[x] ^ parity[y]).sum(1, dtype=np.int64) if len(x) else np.zeros(0, np.int64)
+                keep = n[x] + n[y] - apart >= 2 * needed
+                found.append((x[keep], y[keep], apart[keep]))
+            x, y, apart = map(np.concatenate, zip(*found))
+            u, v = np.minimum(uid[x], uid[y]), np.maximum(uid[x], uid[y])
+            if best:
+                a, b = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+                order = np.lexsort((v, u, apart, b, a))
+                a, b = a[order], b[order]
+                first = np.ones(len(a), bool)
+                first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                order = order[first]
+                u, v, apart = u[order], v[order], apart[order]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(apart)], names=["u", "v", "apart"])
+
+    return _in_blocks(marked, "item", "m").mapInArrow(run, "u long, v long, apart long")
+
+
+def component_labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """node and root of all nodes that have a link; the nodes that share a prefix n-gram; whole sets of those that were verified."""
     spark = docs.sparkSession
     listed = _shared_items(nodes)
     near = staged(listed.select("uid").distinct().join(nodes.select("uid", "n_shingles", "parity", "doc_id", "text_key"), "uid"), "join-near")
     parities = near.select("uid", "n_shingles", "parity")
     sets = None
     labels = spark.createDataFrame([], "node long, root long")
+    tried = spark.createDataFrame([], "u long, v long")
+
+    def linked(pairs: DataFrame, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        ends = near.join(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "uid", "left_semi")
+        more = staged(ends if sets is None else ends.join(sets.select("uid"), "uid", "left_anti"), "join-more")
+        if sets is None or not more.isEmpty():
+            fresh = _sets(docs, more, n)
+            sets = fresh if sets is None else sets.unionByName(fresh)
+        return _verified(pairs, sets, percent), sets
+
     for turn in range(TURNS):
-        hubs = listed.groupBy("item").agg(F.min_by(F.struct("n", "uid", "p"), F.xxhash64(F.lit(turn), "uid", "item")).alias("hub"))
+        hubs = listed.groupBy("item").agg(F.min_by(F.struct("n", "n_index", "uid", "p"), F.xxhash64(F.lit(turn), "uid", "item")).alias("hub"))
         smaller = F.struct("n", "uid") < F.struct("hub.n", "hub.uid")
-        length = F.when(smaller, _pair_filter(F.col("n"), F.col("p"), F.col("hub.n"), F.col("hub.p"), percent)).otherwise(_pair_filter(F.col("hub.n"), F.col("hub.p"), F.col("n"), F.col("p"), percent))
-        stars = listed.join(hubs, "item").where(F.col("uid") != F.col("hub.uid")).where(length).select(F.col("uid").alias("v"), F.col("hub.uid").alias("u"))
+        fits = F.when(smaller, (F.col("p") < F.col("n_index")) & _pair_filter(F.col("n"), F.col("p"), F.col("hub.n"), F.col("hub.p"), percent))
+        fits = fits.otherwise((F.col("hub.p") < F.col("hub.n_index")) & _pair_filter(F.col("hub.n"), F.col("hub.p"), F.col("n"), F.col("p"), percent))
+        stars = listed.join(hubs, "item").where(F.col("uid") != F.col("hub.uid")).where(fits).select(F.col("uid").alias("v"), F.col("hub.uid").alias("u"))
+        stars = _across(stars.distinct(), labels).select("u", "v")
         few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64(F.lit(turn), "u").alias("h"), "u"))), 1, WEIGHED)  # of one node's prefix
         stars = stars.groupBy("v").agg(few.alias("few")).select("v", F.explode("few.u").alias("u"))
-        stars = staged(_suffix_filter(_across(stars, labels).select("u", "v"), parities, percent), "join-stars")
-        best = stars.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        best = staged(best, "join-best")
-        if sets is None:
-            ends = stars.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
-            sets = _sets(docs, near.join(ends, "uid", "left_semi"), n)
-        labels = _merged(labels, _verified(best, sets, percent))
-
-    # Components that share a prefix n-gram, then their members.
-    marked = listed.join(labels.toDF("uid", "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    mixed = marked.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("item")
-    held = staged(marked.join(mixed, "item", "left_semi").groupBy("item", "root").agg(F.min("n").alias("low"), F.max("n").alias("high")), "join-held")
-    a, b = held.toDF("item", "ra", "la", "ha"), held.toDF("item", "rb", "lb", "hb")
-    fits = (100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la"))
-    groups = staged(a.join(b, "item").where("ra < rb").where(fits).select("ra", "rb").distinct(), "join-groups")
-    member = parities.join(labels.toDF("uid", "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    # The smaller component's members go to the larger one's, whose members move once.
-    count = member.groupBy("root").agg(F.count("*").alias("m"))
-    groups = groups.join(count.toDF("ra", "ma"), "ra").join(count.toDF("rb", "mb"), "rb")
-    swap = F.struct("ma", "ra") > F.struct("mb", "rb")
-    groups = groups.select(F.when(swap, F.col("rb")).otherwise(F.col("ra")).alias("ra"), F.when(swap, F.col("ra")).otherwise(F.col("rb")).alias("rb"))
-    x, y = member.toDF("u", "xn", "xp", "ra"), member.toDF("v", "yn", "yp", "rb")
-    size = (100 * F.col("xn") >= percent * F.col("yn")) & (100 * F.col("yn") >= percent * F.col("xn"))
-    differ = F.col("xn") + F.col("yn") - _apart("xp", "yp") >= 2 * _needed(F.col("xn"), F.col("yn"), percent)
-    rest = groups.join(x, "ra").join(y, "rb").where(size).where(differ).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), _apart("xp", "yp").alias("apart"))
-    rest = staged(rest, "join-rest")
-    known = sets.select("uid")
-    more = near.join(rest.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "uid", "left_semi").join(known, "uid", "left_anti")
-    if not more.isEmpty():
-        sets = sets.unionByName(_sets(docs, staged(more, "join-more"), n))
-    first = _across(rest, labels).groupBy("ru", "rv").agg(F.min_by(F.struct("u", "v"), F.struct("apart", "u", "v")).alias("e")).select("e.u", "e.v")
-    first = staged(first, "join-first")
-    labels = _merged(labels, _verified(first, sets, percent))
-    left = staged(_across(rest, labels).join(first, ["u", "v"], "left_anti").select("u", "v"), "join-left")
-    return labels if left.isEmpty() else _merged(labels, _verified(left, sets, percent))
-
-
-def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: rid, doc_id, text_key, n_shingles, component_id and keeper (the row of its component that stays)."""
+        best = _suffix_filter(stars, parities, percent).groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u"))
+        best = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        best = staged(best.join(tried, ["u", "v"], "left_anti"), "join-best")
+        if best.isEmpty():
+            break
+        links, sets = linked(best, sets)
+        tried = tried.unionByName(best)
+        if links.isEmpty():
+            break
+        labels = _merged(labels, links)
+
+    for first in (True, False):
+        marked = _rooted(listed, labels)
+        mixed = marked.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("item")
+        marked = marked.join(mixed, "item", "left_semi").join(parities.select("uid", "parity"), "uid")
+        pairs = _across(block_candidates(marked, percent, first).groupBy("u", "v").agg(F.min("apart").alias("apart")), labels).join(tried, ["u", "v"], "left_anti")
+        if first:
+            a, b = F.least("ru", "rv"), F.greatest("ru", "rv")
+            pairs = pairs.groupBy(a.alias("a"), b.alias("b")).agg(F.min_by(F.struct("u", "v"), F.struct("apart", "u", "v")).alias("e")).select("e.u", "e.v")
+        pairs = staged(pairs.select("u", "v"), "join-rest")
+        if pairs.isEmpty():
+            break
+        links, sets = linked(pairs, sets)
+        tried = tried.unionByName(pairs)
+        labels = _merged(labels, links)
+    return labels, near, sets
+
+
+def _link_counts(docs: DataFrame, labels: DataFrame, near: DataFrame, sets: DataFrame | None, copies: DataFrame, n: int, percent: int) -> DataFrame:
+    """uid and others: rows of other nodes that each node of a component links with. copies: uid, copies."""
+    sizes = labels.groupBy("root").agg(F.count("*").alias("m"))
+    members = staged(labels.select(F.col("node").alias("uid"), "root").join(sizes, "root").join(copies, "uid"), "links-members")
+    # Two nodes of one component link with each other.
+    both = members.where("m = 2")
+    of_two = both.join(both.groupBy("root").agg(F.sum("copies").alias("all")), "root").select("uid", (F.col("all") - F.col("copies")).alias("others"))
+    large = members.where("m > 2")
+    if large.isEmpty():
+        return of_two
+    rest = staged(near.join(large, "uid", "left_semi").join(sets.select("uid"), "uid", "left_anti"), "links-rest")
+    if not rest.isEmpty():
+        sets = sets.unionByName(_sets(docs, rest, n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cuts in _whole_groups(batches, "root"):
+            out = np.zeros(batch.num_rows, np.int64)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                group = batch.slice(a, b - a)
+                size, rows, block = (group.column(c).to_numpy() for c in ("n", "copies", "block"))
+                across = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
+                left, right = (np.flatnonzero(block == group.column(c)[0].as_py()) for c in ("lo", "hi"))
+                common = common_counts(group.column("items"), left, right)
+                linked = (100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)) & (common > 0)
+                if across:
+                    out[a + right] += linked.T @ rows[left]
+                else:
+                    np.fill_diagonal(linked, False)
+                out[a + left] += linked @ rows[right]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out)], names=["uid", "others"])
+
+    rows = large.join(sets, "uid").withColumn("n", F.size("items").cast("long"))
+    counted = _in_blocks(rows, "root", "m").mapInArrow(run, "uid long, others long").groupBy("uid").agg(F.sum("others").alias("others"))
+    return of_two.unionByName(counted)
+
+
+def common_counts(lists: pa.ListArray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Common n-grams of each left row with each right row, by products of 0/1 matrices over the n-grams of several rows."""
+    item, row = lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+    _, code, count = np.unique(item, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    keep = count[code] > 1
+    row, code = row[keep], number[code[keep]]
+    out = np.zeros((len(left), len(right)), np.float32)  # exact up to 2^24
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, [low, low + COLUMNS])
+        has = np.zeros((len(lists), COLUMNS), np.float32)
+        has[row[a:b], code[a:b] - low] = 1
+        out += has[left] @ has[right].T
+    return out.astype(np.int64)
+
+
+def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, links: bool = False) -> DataFrame:
+    """Per row of docs: rid, doc_id, text_key, n_shingles, component_id, keeper (the row of its component that stays) and,
+    if asked for, n_links (the other rows that it links with)."""
     rows = staged(signatures(docs, recurring(docs, n), n, percent), "join-rows")
     full = rows.where("n_shingles > 0")
-    groups = full.groupBy("sig").agg(F.min("rid").alias("uid"), F.min("doc_id").alias("low"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "rid")).alias("first"))
+    groups = full.groupBy("sig").agg(F.min("rid").alias("uid"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "rid")).alias("first"))
     groups = staged(groups, "join-groups")
     nodes = full.join(groups.select("uid"), full["rid"] == F.col("uid"), "left_semi").withColumnRenamed("rid", "uid")
-    labels = component_labels(docs, staged(nodes.drop("sig"), "join-nodes"), n, percent)
-    of_group = groups.join(labels.toDF("uid", "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    labels, near, sets = component_labels(docs, staged(nodes.drop("sig"), "join-nodes"), n, percent)
+    of_group = _rooted(groups, labels)
     of_root = of_group.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("keeper"))
-    of_sig = staged(of_group.join(of_root, "root").select("sig", "component_id", F.col("keeper.rid").alias("keeper")), "join-components")
+    if links:
+        counts = _link_counts(docs, labels, near, sets, groups.select("uid", "copies"), n, percent)
+        of_group = of_group.join(counts, "uid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    more = ["n_links"] if links else []
+    of_sig = staged(of_group.join(of_root, "root").select("sig", "component_id", F.col("keeper.rid").alias("keeper"), *more), "join-components")
+    found = rows.select("rid", "doc_id", "text_key", "n_shingles", "sig").join(of_sig, "sig", "left")
     return (
-        rows.select("rid", "doc_id", "text_key", "n_shingles", "sig").join(of_sig, "sig", "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+        found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
         .withColumn("keeper", F.coalesce("keeper", "rid"))
-        .select("rid", "doc_id", "text_key", "n_shingles", "component_id", "keeper")
-    )
+        .withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in more})
+        .select("rid", "doc_id", "text_key", "n_shingles", "component_id", "keeper", *more)
+    )
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    return near_components(docs, n, percent).select("doc_id", "n_shingles", "component_id")
-
-
-def near_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: doc_id and n_links, the other rows that it links with. Every candidate pair of nodes is verified, also within components."""
-    rows = staged(signatures(docs, recurring(docs, n), n, percent), "links-rows")
-    full = rows.where("n_shingles > 0")
-    groups = staged(full.groupBy("sig").agg(F.min("rid").alias("uid"), F.count("*").alias("copies")), "links-groups")
-    nodes = full.join(groups.select("uid"), full["rid"] == F.col("uid"), "left_semi").withColumnRenamed("rid", "uid").drop("sig")
-    nodes = staged(nodes, "links-nodes")
-    listed = _shared_items(nodes).drop("n_index")
-    x, y = listed.toDF("item", "u", "xn", "xp"), listed.toDF("item", "v", "yn", "yp")
-    pairs = x.join(y, "item").where(F.struct("xn", "u") < F.struct("yn", "v")).where(_pair_filter(F.col("xn"), F.col("xp"), F.col("yn"), F.col("yp"), percent))
-    pairs = staged(_suffix_filter(pairs.select("u", "v").distinct(), nodes.select("uid", "n_shingles", "parity"), percent), "links-pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
-    links = _verified(pairs, _sets(docs, staged(nodes.join(ends, "uid", "left_semi"), "links-ends"), n), percent)
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    copies = groups.select(F.col("uid").alias("v"), "copies")
-    of_node = both.join(copies, "v").groupBy(F.col("u").alias("uid")).agg(F.sum("copies").alias("others"))
-    of_sig = groups.join(of_node, "uid", "left").select("sig", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return rows.select("doc_id", "sig").join(of_sig, "sig", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    """Per row of docs: doc_id, n_shingles, component_id and n_links."""
+    return near_components(docs, n, percent, links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component: that of the smallest id. Rows without words all stay."""
+    """docs with one row of each component: that of the smallest id. Rows without words all stay.
+
+    Null ids come last; of rows that repeat both id and text, which can't be told apart, one stays; columns pass through,
+    whatever their names; an empty table stays empty.
+    """
+    id_, key, once = (free_name(c, docs) for c in ("kept_id", "kept_key", "kept_once"))
     found = staged(near_components(docs, n, percent), "join-found")
-    kept = found.where("rid = keeper").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max(F.col("n_shingles") > 0).alias("__once"))
+    kept = found.where("rid = keeper").groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.max(F.col("n_shingles") > 0).alias(once))
     kept = staged(kept, "join-kept")
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col(key))
     twice = found.where("n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1")
-    if not twice.limit(1).count():
+    if twice.isEmpty():
         return docs.join(kept, here, "left_semi")
     # Rows that repeat both id and text can't be told apart: one of them stays.
     joined = docs.join(kept, here)
-    once = joined.where("__once").dropDuplicates(["__id", "__key"])
-    return once.unionByName(joined.where("not __once")).select(*docs.columns)
+    single = joined.where(once).dropDuplicates([id_, key])
+    return single.unionByName(joined.where(~F.col(once))).select(*docs.columns)
 
 
 #: near_duplicates() by counting the n-grams of all pairs that share one; doc_id must be unique.
@@ -375,5 +530,6 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na,
       FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY a.doc_id, b.doc_id),
 l AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, (SELECT min(r.b) FROM r WHERE r.a = g.doc_id) AS component_id FROM g
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, (SELECT min(r.b) FROM r WHERE r.a = g.doc_id) AS component_id,
+       (SELECT count(*) FROM l WHERE l.a = g.doc_id) AS n_links FROM g
 """

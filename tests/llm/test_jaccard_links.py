@@ -17,5 +17,5 @@ def brute_links(docs, n, percent):
 def test_links_within_components_too(spark, seed, n, percent):
     docs = corpus(seed) + [(1000 + i, " ".join(f"x{k}" if k != i else "other" for k in range(200))) for i in range(30)]  # near copies of each other
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = sorted((tuple(r) for r in jj.near_links(df, n, percent).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_links) for r in jj.near_duplicates(df, n, percent).collect()), key=str)
     assert got == brute_links(docs, n, percent) and dict(got)[1005] == 29
