@@ -44,6 +44,11 @@ def format_valid_date(at: Column, granularity: Column) -> Column:
     return F.when(granularity == "year", F.date_format(at, "yyyy")).when(granularity == "month", F.date_format(at, "yyyy-MM")).otherwise(F.date_format(at, "yyyy-MM-dd"))
 
 
+def shown_endpoint(at: dt.datetime | None, granularity: str | None) -> str | None:
+    """format_valid_date() of one value."""
+    return None if at is None else at.strftime({"year": "%Y", "month": "%Y-%m"}.get(granularity, "%Y-%m-%d"))
+
+
 def known_granularity(text: Column) -> Column:
     return F.when(text.isin(*GRANULARITIES), text)
 

@@ -52,6 +52,23 @@ def selected_claims(t: Tables, as_of: Instant, valid_at: Instant | None = None)
     return joined.where(~F.col("succession") | contains(at))
 
 
+def _rfc3339(at: Column) -> Column:
+    """An instant in UTC with its offset; fractions of a second as far as there are any, in threes."""
+    micros = F.pmod(F.unix_micros(at.cast("timestamp")), F.lit(1_000_000))
+    tail = F.when(micros == 0, "").when(micros % 1000 == 0, F.date_format(at, ".SSS")).otherwise(F.date_format(at, ".SSSSSS"))
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), tail, F.lit("+00:00"))
+
+
+#: Columns of a belief that a table of claims may lack.
+OPTIONAL = {"value_confidence": "float", "start_granularity": "string", "end_granularity": "string"}
+
+
+def _belief(t: Tables) -> Column:
+    """A claim as a belief: when it was last refreshed is when it was written, and nothing corroborates it."""
+    more = [F.col(c) if c in t.claims.columns else F.lit(None).cast(kind).alias(c) for c, kind in OPTIONAL.items()]
+    return F.struct("claim_id", "value_json", "provenance", "tx_time", "valid_start", "valid_end", *more, "criticality", F.col("tx_time").alias("last_refreshed_at"), F.lit(0).alias("corroboration_count"))
+
+
 def beliefs(t: Tables, as_of: Instant, valid_at: Instant | None = None, now: Instant | None = None) -> DataFrame:
     """One row per line known at as_of: status, primary belief, counts, currency, staleness, criticality and markers."""
     config, clock = t.config, instant(now if now is not None else as_of)
@@ -65,7 +82,7 @@ def beliefs(t: Tables, as_of: Instant, valid_at: Instant | None = None, now: Ins
         F.bool_or(F.col("provenance") == "RecallReEntry").alias("any_recall"),
         F.bool_or(F.col("derivation_depth") > config.derivation_depth_cap_for_currency_boost).alias("any_deep"),
         F.max(criticality_rank(F.col("criticality"))).alias("rank"),
-        F.min_by(F.struct("claim_id", "value_json", "provenance", "tx_time", "valid_start", "valid_end", "value_confidence" if "value_confidence" in t.claims.columns else F.lit(None).cast("float").alias("value_confidence")), key).alias("first"),
+        F.min_by(_belief(t), key).alias("first"),
     )
     lines = t.claims.where(F.col("tx_time") <= instant(as_of)).select(*LINE).distinct()
     b = lines.join(folded, list(LINE), "left").withColumn("n_live", F.coalesce("n_live", F.lit(0)))
@@ -83,7 +100,7 @@ def beliefs(t: Tables, as_of: Instant, valid_at: Instant | None = None, now: Ins
     reason = (
         F.when(F.col("n_live") == 0, "no live claim")
         .when(F.col("primary").isNull(), F.lit(None))
-        .when(F.col("currency") == "Decayed", F.concat(F.lit("currency decayed: last refreshed at "), F.date_format("primary.tx_time", "yyyy-MM-dd'T'HH:mm:ss")))
+        .when(F.col("currency") == "Decayed", F.concat(F.lit("currency decayed: last refreshed at "), _rfc3339(F.col("primary.tx_time"))))
         .when(F.col("currency") == "AgingUnconfirmed", "aging unconfirmed: asserted long ago, not yet reconfirmed")
     )
     mark = lambda flag, name: F.when(F.coalesce(flag, F.lit(False)), F.lit(name))

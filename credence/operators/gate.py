@@ -58,6 +58,20 @@ def gate(config: Config, conflict: Column, has_incumbent: Column, oracle_present
     )
 
 
+def superseded_parents(t: Tables, superseded: DataFrame) -> DataFrame:
+    """Claims with `gone`: what they are derived from that is superseded (claim_id), as long as their own list at most."""
+    parents = t.claims.select("claim_id", F.explode("derived_from").alias("parent")).join(superseded.select(F.col("claim_id").alias("parent")), "parent", "left_semi")
+    return t.claims.join(parents.groupBy("claim_id").agg(F.collect_set("parent").alias("gone")), "claim_id", "left")
+
+
+def against_others(claims: DataFrame, scope: list[str], key: list[str], config: Config, oracle_present: bool = False) -> DataFrame:
+    """Each claim against the first claim of its scope in the order `key`, if that is another one; `gone` as of superseded_parents()."""
+    cols = ["claim_id", "subject", "predicate", "value_json", "valid_start", "valid_end", "valid_time_confidence"]
+    first = claims.groupBy(*scope).agg(F.min_by(F.struct(*cols), F.struct(*key)).alias("head"), (F.count("*") - 1).alias("n_live"))
+    rows = claims.join(first, scope).withColumn("incumbent", F.when(F.col("head.claim_id") != F.col("claim_id"), F.col("head")))
+    return _decided(rows, config, F.col("n_live"), oracle_present, F.col("gone"))
+
+
 def against_first(claims: DataFrame, key: list[str], config: Config, n_live: Column | None = None, oracle_present: bool = False) -> DataFrame:
     """Each claim against the first claim of its line in the order `key`: conflict_type, route, disposition.
 
@@ -68,8 +82,8 @@ def against_first(claims: DataFrame, key: list[str], config: Config, n_live: Col
     return _decided(claims.join(first, list(LINE)), config, F.col("n_live") if n_live is None else n_live, oracle_present)
 
 
-def _decided(rows: DataFrame, config: Config, n_live: Column, oracle_present: bool) -> DataFrame:
-    rows = rows.withColumn("conflict_type", conflict_type(config, "incumbent", n_live))
+def _decided(rows: DataFrame, config: Config, n_live: Column, oracle_present: bool, superseded: Column | None = None) -> DataFrame:
+    rows = rows.withColumn("conflict_type", conflict_type(config, "incumbent", n_live, superseded))
     rows = rows.withColumn("decision", gate(config, F.col("conflict_type"), F.col("incumbent").isNotNull(), oracle_present))
     return rows.select("*", F.col("decision.route").alias("route"), F.col("decision.disposition").alias("decided"))
 

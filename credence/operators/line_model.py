@@ -59,10 +59,14 @@ def status(live: list[dict]) -> str:
 
 def decide(claim: dict, live: list[dict], config: Config, oracle_present: bool) -> tuple[str, str, str]:
     """conflict type, route and disposition of a new claim against the live ones."""
-    first = live[0] if live else None
+    return decide_against(claim, live[0] if live else None, len(live), config, oracle_present)
+
+
+def decide_against(claim: dict, first: dict | None, n_live: int, config: Config, oracle_present: bool) -> tuple[str, str, str]:
+    """The same by the first live claim and their number."""
     if first is None or claim["value_json"] == first["value_json"]:
         conflict = "NoConflict"
-    elif len(live) == 1 and trusted(claim, config) and trusted(first, config) and apart(claim, first):
+    elif n_live == 1 and trusted(claim, config) and trusted(first, config) and apart(claim, first):
         conflict = "Succession"
     else:
         conflict = "SameLineConflict"

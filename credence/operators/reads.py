@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.functions.scalars import instant, json_display, provenance_display
+from credence.functions.scalars import format_valid_date, instant, json_display, provenance_display
 from credence.operators.fold import CANONICAL, beliefs, selected_claims
 from credence.operators.liveness import Instant, latest_disposition, order_key
 from credence.schema import LINE, LINEAGE_LEVELS, Tables
@@ -120,7 +120,8 @@ def subject_facts(t: Tables, as_of: Instant, valid_at: Instant | None = None, no
     b = beliefs(t, as_of, valid_at, now).withColumn("shown", shown)
     return b.select(
         *LINE, F.when(F.col("status") == "Conflict", "Contested").otherwise(F.col("status")).alias("status"), F.col("shown.claim_id").alias("claim_id"),
-        json_display(F.col("shown.value_json")).alias("value"), F.when(F.col("shown").isNull(), "none").otherwise(provenance_display(F.col("shown.provenance"))).alias("provenance"), "currency",
+        json_display(F.col("shown.value_json")).alias("value"), F.col("shown.value_confidence").alias("confidence"), format_valid_date(F.col("primary.valid_start"), F.col("primary.start_granularity")).alias("valid_from_display"),
+        format_valid_date(F.col("primary.valid_end"), F.col("primary.end_granularity")).alias("valid_until_display"), F.when(F.col("shown").isNull(), "none").otherwise(provenance_display(F.col("shown.provenance"))).alias("provenance"), "currency",
     )
 
 

@@ -11,6 +11,7 @@ from credence.functions import scalars
 from credence.operators import adjudication, fold, gate, liveness, reads
 from credence.schema import LINE, Tables
 from credence.sources.fixtures import AS_OF, NOW, VALID_AT, tables
+from credence.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 LIMIT = 1000
@@ -159,8 +160,7 @@ def audit_ledger(t):
 
 @query
 def audit_by_claim(t):
-    rows = reads.ledger_page(t, None, LIMIT)
-    return rows.groupBy("claim_id").agg(F.count("*").alias("n"), F.max("recorded_at").alias("last"))
+    return t.ledger.groupBy("claim_id").agg(F.count("*").alias("n"), F.max("recorded_at").alias("last"))
 
 
 @query
@@ -176,7 +176,7 @@ def injected_claims(t):
 
 @query
 def edges_for_claim(t):
-    return reads.edges_of(t).groupBy("claim_id").agg(F.count("*").alias("n_edges"), F.count_if(F.col("from_claim_id") == F.col("claim_id")).alias("n_out"), F.min("created_at").alias("first_created"))
+    return reads.edges_of(t).select("claim_id", "edge_id", "edge_kind", "from_claim_id", "to_claim_id", "created_at")
 
 
 @query
@@ -210,21 +210,32 @@ def incumbent_top1(t):
     return reads.incumbents(t)
 
 
+def _classified(t, scope, oracle_present=False):
+    """Every claim against the first other claim of its scope."""
+    superseded = liveness.latest_disposition(t.ledger).where("disposition = 'Superseded'")
+    return gate.against_others(gate.superseded_parents(t, superseded), scope, ["tx_time", "claim_id"], t.config, oracle_present)
+
+
 @query
 def gate_decisions(t):
-    return gate.against_first(t.claims, ["tx_time", "claim_id"], t.config, n_live=F.lit(1)).select("claim_id", "route", F.col("decided").alias("disposition"))
+    return _classified(t, list(LINE)).select("claim_id", "conflict_type", "route", F.col("decided").alias("disposition"))
+
+
+@query
+def gate_decisions_with_oracle(t):
+    return _classified(t, list(LINE), True).select("claim_id", "route", F.col("decided").alias("disposition"))
 
 
 @query
 def conflict_classification(t):
-    return gate.against_first(t.claims, ["tx_time", "claim_id"], t.config, n_live=F.lit(1)).groupBy("agent_id", "conflict_type").agg(F.count("*").alias("n"))
+    return _classified(t, ["agent_id", "subject"]).select("claim_id", "agent_id", "conflict_type", F.col("incumbent.claim_id").alias("incumbent_claim_id"))
 
 
 @query
 def firewall_verdicts(t):
     served = reads.injected_claims(t).groupBy("agent_id").agg(F.min_by("claim_id", F.struct("first_served", "claim_id")).alias("injected"))
-    rows = t.claims.withColumn("derived_from", F.array().cast("array<string>")).join(served, "agent_id", "left")
-    return rows.select("claim_id", gate.firewall(t.config, F.lit(0), F.col("injected")).alias("f")).select("claim_id", "f.verdict", "f.target")
+    rows = t.claims.join(served, "agent_id", "left").withColumn("burst", F.when(F.col("n") % 97 == 0, 12).otherwise(F.col("n") % 10))
+    return rows.select("claim_id", gate.firewall(t.config, F.col("burst"), F.col("injected")).alias("f")).select("claim_id", "f.verdict", "f.target")
 
 
 @query
@@ -237,6 +248,31 @@ def ingest_replay(t):
     return gate.replay_without_times(t).select("claim_id", "conflict_type", "route", F.col("decided").alias("disposition"), F.col("incumbent.claim_id").alias("incumbent_claim_id"))
 
 
+@query
+def ingest_replay_timed(t):
+    """All claims, with their valid times, as one batch into a store that holds only what was served before."""
+    fresh = ingest.known_targets(t, t.claims).where("known is null").drop("known")
+    none = lambda df: df.where(F.lit(False))
+    store = Tables(none(t.claims), none(t.assertions), none(t.ledger), none(t.edges), none(t.pending), t.config)
+    return ingest.replay(store, fresh, False)
+
+
+@query
+def pending_any_status(t):
+    return reads.pending_now(t).select("handle_id", "status", "challenger_claim_id", "incumbent_claim_id", "queued_at")
+
+
+@query
+def belief_slots(t):
+    """Beliefs with their windows as text and what goes with them."""
+    p = lambda c: F.col(f"primary.{c}")
+    shown = lambda end, kind: scalars.format_valid_date(p(end), p(kind))
+    return fold.beliefs(t, NOW).select(
+        *LINE, p("claim_id").alias("claim_id"), p("value_confidence").alias("confidence"), shown("valid_start", "start_granularity").alias("valid_from_display"), shown("valid_end", "end_granularity").alias("valid_until_display"),
+        p("last_refreshed_at").alias("last_refreshed_at"), F.col("primary.corroboration_count").cast("long").alias("corroboration_count"),
+    )
+
+
 @query
 def reconcile_outcomes(t):
     return adjudication.reconcile(t, NOW).select("claim_id", "route", F.col("decided").alias("disposition"), "escalated", "supersedes")
@@ -247,7 +283,7 @@ def verdict_apply(t):
     kind = F.element_at(F.array(F.lit("Affirm"), F.lit("Deny"), F.lit("Unknown")), F.ascii("handle_id") % 3 + 1)
     verdicts = reads.list_pending(t).select("handle_id", kind.alias("verdict"))
     ledger, _ = adjudication.apply_verdicts(t, verdicts, AS_OF)
-    return ledger.groupBy("agent_id", "event_kind", "disposition").agg(F.count("*").alias("n"), F.countDistinct("claim_id").alias("n_claims"))
+    return ledger.select("agent_id", "claim_id", "event_kind", "disposition")
 
 
 @query
@@ -267,7 +303,11 @@ def overlap_pairs(t):
 @query
 def date_parse(t):
     text = F.date_format("tx_time", "yyyy-MM-dd")
-    shown = F.when(F.length("claim_id") == 36, F.when(F.col("start_granularity") == "year", F.substring(text, 1, 4)).when(F.col("start_granularity") == "month", F.substring(text, 1, 7)).when(F.col("start_granularity") == "day", text).otherwise("soon"))
+    # Years, months and days, instants with zone, and what is none of these: blanks, words, days that no month has.
+    odd = F.when(F.col("n") % 3 == 0, "  ").when(F.col("n") % 3 == 1, "2024-02-30").otherwise("soon")
+    instant = F.concat(F.date_format("tx_time", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("n") % 2 == 0, "Z").otherwise("+02:00"))
+    kind = F.col("start_granularity")
+    shown = F.when(F.col("n") % 11 == 0, odd).when(F.col("n") % 13 == 0, instant).when(kind == "year", F.concat(F.lit(" "), F.substring(text, 1, 4))).when(kind == "month", F.substring(text, 1, 7)).when(kind == "day", text).otherwise("24")
     p = scalars.parse_valid_date(shown)
     return t.claims.select("claim_id", p["at"].alias("at"), p["granularity"].alias("granularity"))
 
@@ -279,7 +319,7 @@ def date_display(t):
 
 @query
 def provenance_display(t):
-    return t.claims.groupBy(scalars.provenance_display(F.col("provenance")).alias("provenance")).agg(F.count("*").alias("n"))
+    return t.claims.select("claim_id", scalars.provenance_display(F.col("provenance")).alias("provenance"))
 
 
 @query

@@ -56,6 +56,14 @@ PENDING = (
     " request_payload_json string, queued_at timestamp_ntz, expires_at timestamp_ntz, status string, seq long"
 )
 SCHEMAS = {"claims": CLAIMS, "assertions": ASSERTIONS, "ledger": LEDGER, "edges": EDGES, "pending": PENDING}
+#: Columns whose texts are values of an enumeration.
+ENUMS = {
+    "claims": {"cardinality": CARDINALITIES, "provenance": PROVENANCES, "criticality": CRITICALITIES},
+    "assertions": {"kind": ASSERTION_KINDS, "provenance": PROVENANCES},
+    "ledger": {"event_kind": EVENT_KINDS, "disposition": DISPOSITIONS},
+    "edges": {"edge_kind": EDGE_KINDS},
+    "pending": {"status": PENDING_STATES},
+}
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,7 @@ def uid(text: str) -> str:
     return f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12))"
 
 
-# {{STAMP}}: the type of times; {{events}} and {{orders}}: the tables. The added zero hours keep the optimizer from taking
+# {{STAMP}}: the type of times; {{LIST}} and {{NONE}}: an array and an empty one; {{events}} and {{orders}}: the tables. The added zero hours keep the optimizer from taking
 # two columns of one branch of the union for one, after which it rejects its own plan.
 _KEYED = f"""
   SELECT 'e' || event_id AS k, event_id AS n, 'agent-' || (user_id % 8) AS agent_id,
@@ -27,12 +27,15 @@ _KEYED = f"""
          CASE WHEN event_id % 5 <> 0 AND event_id % 3 <> 0 THEN CAST(ts - INTERVAL '1' HOUR * (event_id % 7) + INTERVAL '6' HOUR AS {{STAMP}}) END AS valid_end,
          CAST(CASE event_id % 3 WHEN 0 THEN 0.3 WHEN 1 THEN 0.7 ELSE 0.9 END AS FLOAT) AS valid_time_confidence,
          CASE event_id % 4 WHEN 0 THEN 'day' WHEN 1 THEN 'month' WHEN 2 THEN 'year' END AS start_granularity,
-         CASE event_id % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Critical' END AS criticality
+         CASE event_id % 3 WHEN 0 THEN 'month' WHEN 1 THEN 'day' ELSE 'instant' END AS end_granularity,
+         CASE event_id % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Critical' END AS criticality, CAST(CASE WHEN event_id % 5 = 0 THEN 0.5 ELSE 1.0 END AS FLOAT) AS value_confidence,
+         CASE WHEN event_id % 20 IN (1, 10, 12) THEN {{LIST}}({uid("'claim:e' || (event_id - 1)")}) ELSE {{NONE}} END AS derived_from
   FROM {{events}}
   UNION ALL
   SELECT 'o' || o_orderkey, o_orderkey, 'orders-' || (o_custkey % 8), 'customer:' || o_custkey, 'last_status', '"' || o_orderstatus || '"', 'Functional', 'External_UserAsserted', 0,
          CAST(o_orderdate AS {{STAMP}}), CAST(o_orderdate + INTERVAL '0' HOUR AS {{STAMP}}),
-         CAST(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS {{STAMP}}), CAST(0.9 AS FLOAT), 'day', 'Medium'
+         CAST(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS {{STAMP}}), CAST(0.9 AS FLOAT), 'day', 'day', 'Medium', CAST(1.0 AS FLOAT),
+         CASE WHEN o_orderkey % 12 = 0 THEN {{LIST}}({uid("'claim:o' || (o_orderkey - 1)")}) ELSE {{NONE}} END
   FROM {{orders}}
 """
 _CLAIMS = f"""
@@ -71,7 +74,7 @@ _PENDING = f"""
 
 def tables(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Tables:
     """The five tables over whole `events` and `orders`."""
-    stamp = lambda sql: sql.replace("{STAMP}", "TIMESTAMP_NTZ")
+    stamp = lambda sql: sql.replace("{STAMP}", "TIMESTAMP_NTZ").replace("{LIST}", "array").replace("{NONE}", "CAST(array() AS ARRAY<STRING>)")
     events, orders = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
     claims = spark.sql(stamp(_CLAIMS), events=events, orders=orders)
     of = lambda sql: spark.sql(stamp(sql), claims=claims)
@@ -80,5 +83,5 @@ def tables(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Ta
 
 def duckdb_ctes() -> str:
     """The same tables as common table expressions."""
-    sql = lambda s: s.replace("{STAMP}", "TIMESTAMP").replace("{events}", "events").replace("{orders}", "orders").replace("{claims}", "claims").replace("AS STRING", "AS VARCHAR")
+    sql = lambda s: s.replace("{STAMP}", "TIMESTAMP").replace("{LIST}", "list_value").replace("{NONE}", "CAST([] AS VARCHAR[])").replace("{events}", "events").replace("{orders}", "orders").replace("{claims}", "claims").replace("AS STRING", "AS VARCHAR")
     return f"claims AS ({sql(_CLAIMS)}), ledger AS ({sql(_LEDGER)}), assertions AS ({sql(_ASSERTIONS)}), edges AS ({sql(_EDGES)}), pending AS ({sql(_PENDING)})"
