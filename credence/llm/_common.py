@@ -18,8 +18,14 @@ LOCAL_ROOT = "file:///tmp/checkpoints/credence"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_ROOT).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = LOCAL_ROOT
+    return root.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -69,6 +75,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
                 yield batch.slice(a, b - a)
 
 
+def strings(array: pa.Array) -> list[str]:
+    """The Python strings of an array without nulls; many times as fast as to_pylist()."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def words_of(text: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """Words between ASCII white space (A-Z lower-cased unless told not to), and the row of each; null texts have none."""
     text = pc.fill_null(text, "")
@@ -92,24 +103,23 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-#: Arrays that meet in one group of the first of the two sums of summed_rows(): one of so many of the parts.
-SUM_GROUPS = 256
+#: Arrays that one task adds up at most.
+SUM_GROUP = 256
 
 
-def summed_rows(parts: DataFrame, width: int, n_parts: int | None = None) -> dict[int, np.ndarray]:
+def summed_rows(parts: DataFrame, width: int, n_parts: int) -> dict[int, np.ndarray]:
     """Sums arrays of one width by `at`, in the order of their parts; the caller bounds the number of `at`.
 
-    parts: at int, part int, sums array<double>. A tree of two levels (one, if there are known to be SUM_GROUPS parts at
-    most): no group holds more than the larger of SUM_GROUPS arrays and one in SUM_GROUPS of all, and never rows of the corpus.
+    parts: at int, part int (below n_parts), sums array<double>. A tree: each group adds up SUM_GROUP arrays at most, never
+    rows of the corpus, and as many groups run at a time as there are.
     """
 
     def add(pdf):
         pdf = pdf.sort_values("part")
-        return type(pdf)({"at": pdf["at"][:1].to_numpy(), "part": pdf["part"][:1].to_numpy() % SUM_GROUPS, "sums": [np.sum(np.stack(pdf["sums"].to_list()), axis=0)]})
+        return type(pdf)({"at": pdf["at"][:1].to_numpy(), "part": pdf["part"][:1].to_numpy() // SUM_GROUP, "sums": [np.sum(np.stack(pdf["sums"].to_list()), axis=0)]})
 
     shape = "at int, part int, sums array<double>"
-    some = parts
-    if n_parts is None or n_parts > SUM_GROUPS:
-        some = parts.groupBy("at", F.pmod("part", F.lit(SUM_GROUPS))).applyInPandas(add, shape)
-    total = some.groupBy("at").applyInPandas(add, shape)
-    return {r["at"]: np.asarray(r["sums"], np.float64).reshape(width) for r in total.collect()}
+    while n_parts > SUM_GROUP:
+        parts = parts.groupBy("at", F.floor(F.col("part") / SUM_GROUP)).applyInPandas(add, shape)
+        n_parts = -(-n_parts // SUM_GROUP)
+    return {r["at"]: np.asarray(r["sums"], np.float64).reshape(width) for r in parts.groupBy("at").applyInPandas(add, shape).collect()}

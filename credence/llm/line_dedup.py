@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm._common import staged
+from credence.llm._common import free_name, staged
 
 MIN_SITES, MIN_WORDS = 5, 4
 LG_K = 10
@@ -33,7 +33,8 @@ def line_key(line: Column) -> Column:
 
 
 def _text_key(text: Column) -> Column:
-    return F.xxhash64(text)
+    """Null texts are dealt by their ids, so that they don't meet in one task."""
+    return F.when(text.isNull(), F.xxhash64(F.lit("null"), "doc_id")).otherwise(F.xxhash64(text))
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -75,33 +76,36 @@ def _band(min_sites: int) -> float:
     return max(1.0, BAND * min_sites)
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the marked lines removed; columns stay, and __removed tells how many lines went."""
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, count_as: str = "__removed") -> DataFrame:
+    """docs with the marked lines removed; columns stay, whatever their names, and `count_as` tells how many lines went."""
+    text_key, mine, gone, kept, removed = (free_name(c, docs) for c in ("line_text_key", "line_marked", "line_goes", "line_rest", count_as))
     marked = boilerplate(docs, min_sites, min_words)
     # The marked lines of each distinct text; a clash of text keys only brings lines that are marked anyway.
     of_text = (
         _lines(docs, min_words).select("text_key", "key").join(marked.select("key", "keeper"), "key").distinct()
-        .groupBy(F.col("text_key").alias("__text_key")).agg(F.collect_list(F.struct("key", "keeper")).alias("__marked"))
+        .groupBy(F.col("text_key").alias(text_key)).agg(F.collect_list(F.struct("key", "keeper")).alias(mine))
     )
+    of_text = staged(of_text, "line-texts")  # a join of two dealt tables can be split where a text has very many copies
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    goes = F.transform(F.filter("__marked", lambda m: m["keeper"] != id_), lambda m: m["key"])
-    joined = docs.withColumn("__text_key", _text_key(F.col("text"))).join(of_text, "__text_key", "left").withColumn("__goes", goes)
+    goes = F.transform(F.filter(mine, lambda m: m["keeper"] != id_), lambda m: m["key"])
+    joined = docs.withColumn(text_key, _text_key(F.col("text"))).join(of_text, text_key, "left").withColumn(gone, goes)
     lines = F.split("text", "\n")
-    rest = F.filter(lines, lambda line: ~F.array_contains(F.col("__goes"), line_key(line)))
-    changed = F.size("__goes") > 0
+    rest = F.filter(lines, lambda line: ~F.array_contains(F.col(gone), line_key(line)))
+    changed = F.size(gone) > 0
     return (
-        joined.withColumn("__rest", F.when(changed, rest))
-        .withColumn("__removed", F.when(changed, (F.size(lines) - F.size("__rest")).cast("long")).otherwise(F.lit(0).cast("long")))
-        .withColumn("text", F.when(changed, F.array_join("__rest", "\n")).otherwise(F.col("text")))
-        .select(*docs.columns, "__removed")
+        joined.withColumn(kept, F.when(changed, rest))
+        .withColumn(removed, F.when(changed, (F.size(lines) - F.size(kept)).cast("long")).otherwise(F.lit(0).cast("long")))
+        .withColumn("text", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")))
+        .select(*docs.columns, removed)
     )
 
 
 def line_dedup_report(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """Per row: lines removed, characters left and the new text's md5."""
-    return dedup_lines(docs, min_sites, min_words).select(
+    removed = free_name("n_removed", docs)
+    return dedup_lines(docs, min_sites, min_words, removed).select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("__removed").alias("n_removed"),
+        F.col(removed).alias("n_removed"),
         F.length("text").cast("long").alias("n_chars_left"),
         F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"),
     )

@@ -114,7 +114,8 @@ def mix(docs: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
         .select(*PATH, F.col("bucket").alias("end_bucket"), (F.col("upto") - F.col("held")).alias("start"))
     )
     ends = staged(leaves.select(*PATH, "epochs", "rest").join(ends, list(PATH), "left"), "mix-ends")
-    dealt = rows.join(ends, list(PATH)).withColumn("place", order).withColumn("bucket", F.substring("place", 1, 3))
+    # Written, so that the join's tasks can be split where a leaf has very many rows; only end buckets are gathered after it.
+    dealt = staged(rows.join(ends, list(PATH)).withColumn("place", order).withColumn("bucket", F.substring("place", 1, 3)), "mix-dealt")
     inside = F.when(F.col("end_bucket").isNull(), 0).otherwise(F.when(F.col("bucket") < F.col("end_bucket"), F.col("n_tokens")).otherwise(0))
     clear = dealt.where("end_bucket is null or bucket <> end_bucket").withColumn("part", inside.cast("long"))
     before = Window.partitionBy(*PATH).orderBy("place", F.col("doc_id").asc_nulls_first(), "text_key").rowsBetween(Window.unboundedPreceding, -1)

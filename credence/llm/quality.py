@@ -172,6 +172,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     """stats: document_statistics(), staged. labels: doc_id, quality."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").groupBy("doc_id").agg(F.avg("quality").alias("y"))
     known = staged(stats.where(f"fold <> {HELD_OUT}").join(marked, "doc_id").select("fold", "stats", "y"), "quality-known")
+    parts = known.rdd.getNumPartitions()
 
     def moments(batches):
         out = None
@@ -180,7 +181,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
             out = (0 if out is None else out) + np.stack([x.sum(0), (x**2).sum(0)])
         return out
 
-    first = summed_rows(_sums(known, moments), N_STATISTICS + 1)
+    first = summed_rows(_sums(known, moments), N_STATISTICS + 1, parts)
     if not first:
         return Model(np.zeros(N_STATISTICS), np.ones(N_STATISTICS), None, np.full(BINS, 0.5))
     n = first[0][0]
@@ -198,7 +199,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
         return out
 
     d = FEATURES + 1
-    rows = summed_rows(_sums(known.where(f"fold <> {CALIBRATION}"), equations), d + 1)
+    rows = summed_rows(_sums(known.where(f"fold <> {CALIBRATION}"), equations), d + 1, parts)
     both = np.stack([rows.get(i, np.zeros(d + 1)) for i in range(d)])
     weights = np.linalg.solve(both[:, :d] + RIDGE * max(both[d - 1, d - 1], 1) * np.eye(d) / FEATURES, both[:, d])
     model = Model(mean, scale, weights, np.zeros(BINS))
@@ -210,7 +211,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
             out = (0 if out is None else out) + np.stack([np.bincount(at, minlength=BINS).astype(np.float64), np.bincount(at, y, minlength=BINS)])
         return out
 
-    steps = summed_rows(_sums(known.where(f"fold = {CALIBRATION}"), counts), BINS)
+    steps = summed_rows(_sums(known.where(f"fold = {CALIBRATION}"), counts), BINS, parts)
     calibrated = isotonic(steps[0], steps[1]) if steps else np.clip((np.arange(BINS) / BIN) - 1, 0, 1)
     return Model(mean, scale, weights, calibrated)
 

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 
 from credence.llm import decontaminate as dc
@@ -67,3 +69,32 @@ def test_first_word_after_text_without_a_sentence_end(spark):
     docs = [(10 * i + k, b + text, 0) for i, text in items for k, b in enumerate(before)]
     docs += [(91, "Question 5\n" + SHORT.replace("What", "Nothing"), 0), (92, "5. " + items[1][1].replace("In", "Cm"), 0)]  # other first words
     assert run(spark, docs, items) == {(10 * i + k, i): "exact" for i, _ in items for k in range(len(before))}
+
+
+def test_names_at_sentence_starts_and_of_several_words(spark):
+    items = [(1, "Robert walked 12 km to the market and bought 3 apples."), (2, "Anna Maria Keller has 7 cats and gives 2 of them to her brother."), (3, "A ship left Port Louis at 9 and sailed 40 miles a day until Friday.")]
+    docs = [
+        (11, "Once more. Anna walked 40 km to the market and bought 8 apples.", 0), (21, "Then came this. Tom has 5 cats and gives 1 of them to her brother. The end.", 0), (22, "Here Anna Maria Keller has 7 cats and gives 2 of them to her brother.", 0),
+        (31, "A ship left Rotterdam at 6 and sailed 55 miles a day until Monday.", 0), (41, "Nobody walked home to the market and bought old apples.", 0),
+    ]
+    assert run(spark, docs, items) == {(11, 1): "reparameterised", (21, 2): "reparameterised", (22, 2): "exact", (31, 3): "reparameterised"}
+
+
+def test_recall_of_items_with_other_parameters_and_no_false_finds(spark):
+    """Made-up items whose numbers, names and units are drawn anew, within prose; at least 0.9 are found, and no prose alone."""
+    rng = random.Random(8)
+    names, places = ["Robert", "Anna", "Tom Miller", "Maria Lopez Diaz", "Kim", "Olga Petrova"], ["Oslo", "New York", "Lima", "Port Louis"]
+    units, verbs, things = ["km", "miles", "m"], ["walks", "drives", "rides"], ["apples", "books", "coins", "stones", "lamps"]
+    forms = [
+        lambda v, t: lambda: f"{rng.choice(names)} {v} {rng.randrange(2, 99)} {rng.choice(units)} from {rng.choice(places)} and buys {rng.randrange(2, 99)} {t} for {rng.choice(names)} each week.",
+        lambda v, t: lambda: f"Calculate {rng.randrange(99)} + {rng.randrange(99)} * {rng.randrange(99)} and give the number of {t} that remain after she {v}.",
+        lambda v, t: lambda: f"If {rng.choice(names)} {v} at {rng.randrange(2, 99)} {rng.choice(units)} an hour, how many {t} are passed in {rng.randrange(2, 20)} hours?",
+        lambda v, t: lambda: f"A box holds {rng.randrange(2, 99)} {t} and {rng.choice(names)} {v} with {rng.randrange(2, 99)} of these boxes to {rng.choice(places)}; how many {t} are there?",
+    ]
+    makers = [form(v, t) for form in forms for v in verbs for t in things]
+    word = lambda: "".join(rng.choices("aeiourstln", k=rng.randrange(2, 9)))
+    prose = lambda: " ".join([word().capitalize(), *(word() for _ in range(11))]) + ". "
+    items = [(i, make()) for i, make in enumerate(makers)]
+    docs = [(i, prose() + make() + " " + prose(), 0) for i, make in enumerate(makers)] + [(1000 + i, "".join(prose() for _ in range(9)), 0) for i in range(200)]
+    got = run(spark, docs, items)
+    assert sum((i, i) in got for i, _ in items) >= 0.9 * len(items) and all(d < 1000 for d, _ in got)
