@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
 docs. The first four return the columns of documents; the last returns what each kept document gives to the mix.
+
+Defined cases: null and empty texts are scored like any other by the classifier, keep what lines they have, are nobody's near
+duplicate, hold no benchmark item and give no tokens to the mix; null ids stay and are the last to be kept of a group; of rows
+that repeat id and text one stays, unless they have no words; further columns pass through, whatever their names, up to the
+mix; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -10,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.llm import decontaminate, jaccard_join, line_dedup, mixing, quality
-from credence.llm._common import read_table, staged
+from credence.llm._common import free_name, read_table, staged
+
+
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,15 +28,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines go from all documents but the first; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    removed = free_name("lines_removed", docs)
+    out = line_dedup.dedup_lines(docs, count_as=removed)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the smallest id."""
-    return jaccard_join.keep_one(docs)
+    """One document of each group of near duplicates stays: that of the smallest id. Texts are near duplicates if their sets of
+    word shingles of NEAR_WORDS are alike by NEAR_PERCENT and more."""
+    return jaccard_join.keep_one(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
