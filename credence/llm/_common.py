@@ -33,9 +33,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
+    """Writes df to the shared folder and reads it back: lineage is cut and lost executors cost nothing. The folder goes when
+    the driver ends, as results may still read it until then."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

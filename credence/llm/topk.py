@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 SCALE, K, QUERY_MOD = 64, 20, 20
 BLOCK, GROUP = 8192, 4096
+#: Components below it leave room for inner products of 2,048 of them in 64 bits.
+LARGEST = 1 << 20
 #: Segments hold components of one level: absolute values from LEVELS[i] up to the level above.
 LEVELS = (32, 16, 8, 4, 1)
 #: Queries whose scores are held at once, and the share of a block at which possible members are rescored.
@@ -105,8 +107,8 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     """left: one block of candidates, right: one group of queries."""
     if not len(left) or not len(right):
-        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
-    left, right = left.sort_values("vec_id", kind="stable"), right.sort_values("vec_id", kind="stable")
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score", "copies")})
+    left, right = left.sort_values(["vec_id", "order"], kind="stable"), right.sort_values("vec_id", kind="stable")
     width = max(left["v"].map(len).max(), right["v"].map(len).max(), 1)
     ids, own = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
     found = ImpactIndex(_matrix(left["v"], width)).search(_matrix(right["v"], width), own, ids, k)
@@ -115,29 +117,34 @@ def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
             "query_id": np.repeat(own, [len(p) for p, _ in found]),
             "vec_id": np.concatenate([ids[p] for p, _ in found]),
             "score": np.concatenate([s for _, s in found]),
+            "copies": left["copies"].to_numpy()[np.concatenate([p for p, _ in found]).astype(np.int64)],
         }
     )
 
 
 def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and v, whole numbers; rows that take no part are left out."""
+    """vec_id and v, whole numbers; rows that take no part are left out. A component of LARGEST or more refuses the table, as
+    inner products might not fit 64 bits."""
     x = F.col("embedding").cast("array<double>")
+    refused = F.raise_error(F.lit(f"a component is {LARGEST} or more in size"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return vectors.where("vec_id is not null and embedding is not null").where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    return vectors.where("vec_id is not null and embedding is not null").where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.when(F.abs(c) < LARGEST, F.floor(c * scale).cast("long")).otherwise(refused.cast("long"))).alias("v"))
 
 
 def top_k(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of every query with all other rows."""
     rows = whole_vectors(vectors)
     queries = rows.where(F.col("vec_id") % query_mod == 0).dropDuplicates(["vec_id"])
+    # Rows that repeat id and vector are searched as one, and counted, so that they can't fill a block.
+    rows = rows.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k + 1)).alias("copies")).withColumn("order", F.xxhash64("v"))
     n_rows, n_queries = rows.count(), queries.count()
     blocks, groups = max(1, -(-n_rows // BLOCK)), max(1, -(-n_queries // GROUP))
     block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
     group = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
-    # Equal rows fall into one block; a running number would spread them, but it is not repeatable after a lost executor.
     left = rows.withColumn("block", block).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = queries.withColumn("group", group).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    best = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(lambda a, b: _search(a, b, k), "query_id long, vec_id long, score long")
+    best = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(lambda a, b: _search(a, b, k), "query_id long, vec_id long, score long, copies long")
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

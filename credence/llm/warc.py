@@ -154,9 +154,10 @@ def parse_record(packed: bytes) -> dict:
 
 
 def classified(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and, for revisits, refers_to: the largest page_id with the same payload."""
+    """page_id, url, html and, for revisits, refers_to: the largest page_id with the same payload (by SHA-256, SHA-1 and length)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    key = F.sha1(F.col("html").cast("binary"))
+    body = F.col("html").cast("binary")
+    key = F.concat(F.sha2(body, 256), F.sha1(body), F.octet_length(body).cast("string"))
     groups = rows.groupBy(key.alias("key")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("key", "last")
     groups = staged(groups, "warc-groups")  # its size is known from here on: small ones are broadcast, others joined
     refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))

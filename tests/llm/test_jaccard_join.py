@@ -9,11 +9,13 @@ from credence.llm._common import read_table
 from tests.llm.oracle import SF, assert_same
 
 
-def brute(docs, percent):
-    sets = []
-    for _, text in docs:
-        ws = (text or "").lower().split()
-        sets.append({tuple(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))} if ws else set())
+def of_three(text):
+    ws = (text or "").lower().split()
+    return {tuple(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))} if ws else set()
+
+
+def brute(docs, percent, shingles=of_three):
+    sets = [shingles(text) for _, text in docs]
     root = list(range(len(docs)))
 
     def find(i):

@@ -8,6 +8,11 @@ from credence.llm import quality
 from credence.llm._common import read_table, staged
 from tests.llm.test_jaccard_join import brute
 
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -35,7 +40,7 @@ def test_stages(spark):
         assert lines[k].text == "\n".join(line for line, c in cores if len(sites.get(c, ())) < 5 or first[c] == k)
         assert lines[k].n_chars == (r.n_chars if lines[k].text == r.text else len(lines[k].text))
 
-    groups = brute([(k, r.text) for k, r in lines.items()], 90)
+    groups = brute([(k, r.text) for k, r in lines.items()], 80, shingles)  # five words, 80 percent
     assert near == {k: lines[k] for k, n, c in groups if not n or c == k}
 
     items = [r.text for r in read_table(spark, SF, "benchmark").collect()]

@@ -46,3 +46,29 @@ def test_edges(spark):
     got = quality.quality_scores(docs, labels).collect()
     assert len(got) == 3 and {r.score for r in got} == {0.5}
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_weights_equal_plain_ridge_over_all_labelled_rows(spark):
+    """The summed equations, dealt over tasks, against one least-squares solution in memory."""
+    sf = "/root/testdata/sf0.01"
+    stats = quality.document_statistics(read_table(spark, sf, "documents").repartition(7)).cache()
+    labels = read_table(spark, sf, "labels")
+    model = quality.fit(stats, labels)
+    rows = stats.where(f"fold <> {quality.HELD_OUT}").toPandas().merge(labels.toPandas(), on="doc_id")
+    rows = rows[rows.quality.isin((0, 1))]
+    x = np.stack(rows.stats.to_list()).astype(np.float64)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-6, atol=1e-6)
+    fit = (rows.fold != quality.CALIBRATION).to_numpy()
+    z, y = quality.cosines(x[fit], model.mean, model.scale), rows.quality.to_numpy()[fit].astype(np.float64)
+    penalty = np.sqrt(quality.RIDGE * len(z) / quality.FEATURES)
+    want = np.linalg.lstsq(np.vstack([z, penalty * np.eye(z.shape[1])]), np.append(y, np.zeros(z.shape[1])), rcond=None)[0]
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+
+
+def test_sums_are_a_tree(spark, monkeypatch):
+    from credence.llm import _common
+
+    monkeypatch.setattr(_common, "SUM_GROUP", 3)
+    parts = spark.createDataFrame([(at, part, [float(part), 1.0]) for at in range(2) for part in range(20)], "at int, part int, sums array<double>")
+    got = _common.summed_rows(parts, 2, 20)
+    assert {k: v.tolist() for k, v in got.items()} == {0: [190.0, 20.0], 1: [190.0, 20.0]}
