@@ -262,8 +262,13 @@ class Engine:
         t, wanted = self.tables, F.col("agent_id") == agent
         for name, value in (("subject", subject), ("predicate", predicate)):
             wanted = wanted if value is None else wanted & (F.col(name) == value)
-        mine = F.col("agent_id") == agent
-        return Tables(t.claims.where(wanted), t.assertions.where(mine), t.ledger.where(mine), t.edges.where(mine), t.pending.where(mine), t.config)
+        claims, mine = t.claims.where(wanted), F.col("agent_id") == agent
+        ledger, assertions = t.ledger.where(mine), t.assertions.where(mine)
+        if subject is not None:  # only what is said of these claims is aggregated
+            ids = claims.select("claim_id")
+            ledger = ledger.join(ids, "claim_id", "left_semi").select(*ledger.columns)
+            assertions = assertions.join(ids, assertions["target_claim_id"] == ids["claim_id"], "left_semi")
+        return Tables(claims, assertions, ledger, t.edges.where(mine), t.pending.where(mine), t.config)
 
     def subject_facts(self, agent: str, subject: str, as_of: dt.datetime | None = None, valid_at: dt.datetime | None = None) -> list[dict]:
         now = self.clock()

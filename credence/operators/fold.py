@@ -19,24 +19,20 @@ CANONICAL = ("okey", "tx_time", "claim_id")
 def successions(live: DataFrame, t: Tables) -> DataFrame:
     """Lines whose live claims (more than one, all trusted) hold windows that don't overlap.
 
-    In order of start and end, all pairs are apart if neighbours are, as long as no window ends before it starts; lines
-    with such a window are compared pair by pair.
+    In order of start and end, all windows are apart if neighbours are. A window that ends before it starts is apart from all
+    others of its kind, and clashes only with a window that reaches from before its end to after its start; if the others
+    are apart, that can only be the last one that starts before its end. So one pass in order sees every clash.
     """
-    several = live.groupBy(*LINE).agg(F.count("*").alias("n"), F.bool_and(is_trusted(t.config)).alias("all"), F.bool_or(F.coalesce(F.col("valid_end") < F.col("valid_start"), F.lit(False))).alias("inverted"))
-    several = several.where((F.col("n") > 1) & F.col("all"))
-    rows = live.select(*LINE, "valid_start", "valid_end", "claim_id").join(several.select(*LINE, "inverted"), list(LINE))
-    order = Window.partitionBy(*LINE).orderBy(F.col("valid_start"), F.col("valid_end").asc_nulls_last(), "claim_id")
-    straight = (
-        rows.where(~F.col("inverted")).withColumn("next", F.lead("valid_start").over(order))
-        .groupBy(*LINE).agg(F.bool_and(F.col("next").isNull() | F.coalesce(F.col("valid_end") <= F.col("next"), F.lit(False))).alias("apart"))
-    )
-    bent = rows.where("inverted").groupBy(*LINE).agg(F.collect_list(F.struct("claim_id", "valid_start", "valid_end")).alias("w"))
-    bent = bent.select(*LINE, F.forall("w", lambda a: F.forall("w", lambda b: (a["claim_id"] == b["claim_id"]) | windows_apart(a, b))).alias("apart"))
-    return straight.unionByName(bent).where("apart").select(*LINE)
-
-
-def windows_apart(a: Column, b: Column) -> Column:
-    return F.coalesce(a["valid_end"] <= b["valid_start"], F.lit(False)) | F.coalesce(b["valid_end"] <= a["valid_start"], F.lit(False))
+    several = live.groupBy(*LINE).agg(F.count("*").alias("n"), F.bool_and(is_trusted(t.config)).alias("all")).where((F.col("n") > 1) & F.col("all"))
+    rows = live.select(*LINE, "valid_start", "valid_end", "claim_id").join(several.select(*LINE), list(LINE))
+    bent = F.coalesce(F.col("valid_end") < F.col("valid_start"), F.lit(False))
+    rows = rows.withColumn("bent", bent).withColumn("key", F.when(F.col("bent"), F.col("valid_end")).otherwise(F.col("valid_start")))
+    rows = rows.withColumn("straight", F.when(~F.col("bent"), F.struct("valid_start", "valid_end")))
+    over = f"OVER (PARTITION BY {', '.join(LINE)} ORDER BY key, NOT bent, valid_end NULLS LAST, claim_id)"
+    rows = rows.withColumn("next", F.expr(f"lead(straight) IGNORE NULLS {over}")).withColumn("before", F.expr(f"lag(straight) IGNORE NULLS {over}"))
+    reaches = F.col("before").isNotNull() & (F.col("before.valid_end").isNull() | (F.col("before.valid_end") > F.col("valid_start")))
+    runs_on = F.col("next").isNotNull() & ~F.coalesce(F.col("valid_end") <= F.col("next.valid_start"), F.lit(False))
+    return rows.groupBy(*LINE).agg(F.bool_or(F.when(F.col("bent"), reaches).otherwise(runs_on)).alias("clash")).where(~F.col("clash")).select(*LINE)
 
 
 def contains(at: Column) -> Column:
