@@ -4,21 +4,24 @@ A document's set holds the hashes (64 bits) of its distinct word n-grams. Equal
 one global order, rare n-grams first: n-grams that recur within a task's share are counted over all documents, and the
 `ORDER_LIST` most frequent of them come last, by count; any order gives the same links, a good one gives fewer candidates.
 Two nodes are candidates if an n-gram stands in the smaller one's index prefix and in the other one's probe prefix. Of
-n-grams that the very same nodes have in their prefixes, the first in the order stands for all. Length filter, positional
-filter and suffix filter (fixed pivots cut the order of hashes in 2048 ranges; two sets differ by at least as many n-grams
-as ranges in which one size is odd and one even) drop candidates that can't link; the rest is verified by whole sets.
+n-grams that the very same many nodes have in their prefixes, the first in the order stands for all. Length filter, positional
+filter and suffix filter (fixed pivots cut the order of hashes in ranges; two sets differ by at least as many n-grams as
+ranges in which one size is odd and one even; 512 ranges go along with every prefix n-gram, so that nearly all chance
+candidates fall before a pair is moved, 2048 are fetched for the pairs that are left) drop candidates that can't link; the
+rest is verified by whole sets.
 
 Large groups are not expanded into all pairs, as a pair within a component can't change the components:
 
-1. In turns, until one merges nothing (`TURNS` at most), each node meets one node of each of its prefix n-grams, another one
-   each turn, and the most promising pair that lies in two components is verified.
-2. The nodes of each prefix n-gram that still has several components meet in blocks of `BLOCK`; a block pair is filtered in
+1. N-grams that up to `FEW` nodes have in their prefixes give all candidates at once, which are filtered and verified.
+2. In turns, until one merges nothing (`TURNS` at most), each node meets one node of each of its other prefix n-grams, another
+   one each turn, and the most promising pair that lies in two components is verified.
+3. The nodes of each such n-gram that still has several components meet in blocks of `BLOCK`; a block pair is filtered in
    numpy and gives only pairs of different components that pass all filters: first the best of any two components, then,
    when these are verified, all others that still lie in two components and weren't verified before.
-3. Links only join nodes of one component. Their number is counted within components, again by pairs of blocks, whose
+4. Links only join nodes of one component. Their number is counted within components, again by pairs of blocks, whose
    common n-grams are counted exactly by products of 0/1 matrices; a block pair gives one number for each node.
 
-No candidate is dropped, and none is verified twice for the components. Steps 2 and 3 compare within a group by arithmetic
+No candidate is dropped, and none is verified twice for the components. Steps 3 and 4 compare within a group by arithmetic
 that grows with its square, but what they shuffle grows with its size (times the group's number of blocks).
 
 Defined cases: texts without words, or null, have empty sets and link with nothing; fewer words than n make one n-gram;
@@ -38,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm._common import coded_words, free_name, slices, staged
+from credence.llm._common import coded_words, free_name, slices, staged, strings
 from credence.llm.components import connected
 
 WORDS, PERCENT = 3, 90
@@ -46,7 +49,9 @@ WORDS, PERCENT = 3, 90
 ORDER_LIST = 500_000
 #: Occurrences within about so many n-grams of one task at which an n-gram counts as recurring.
 RECURS, COUNT_AT = 3, 2_000_000
-RANGES, TURNS = 2048, 4
+RANGES, FEW_RANGES, TURNS = 2048, 512, 4
+#: Nodes up to which all pairs of a prefix n-gram are candidates at once.
+FEW = 8
 #: Pairs of one node that are weighed in a turn; what is left over waits for the blocks, which leave out nothing.
 WEIGHED = 6
 #: Nodes of a block, and pairs (or columns) that a task compares at a time.
@@ -58,7 +63,7 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in strings(words)), np.uint64, len(words))
 
 
 def ngram_sets(text: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -202,32 +207,36 @@ def _known(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def _shared_items(nodes: DataFrame) -> DataFrame:
-    """Prefix n-grams that two or more nodes have, with these nodes: item, uid, n, n_index, p. Of n-grams with the same
-    nodes only the first in the order is there; it comes first in all of them."""
-    several = nodes.select(F.explode("prefix").alias("item")).groupBy("item").agg(F.count("*").alias("m")).where("m > 1").select("item")
-    several = staged(several, "join-items")
-    shared = nodes.sparkSession.sparkContext.broadcast(_filter_bits(several, F.col("item")))
+def _postings(nodes: DataFrame, few_bits, many_bits, many: bool) -> DataFrame:
+    """Prefix n-grams that more than FEW nodes (many) or at least two have, with their nodes: item, uid, n, n_index, p, few
+    (parities of FEW_RANGES ranges). Each n-gram is in one of both; false alarms of the filters are harmless."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
             lists = batch.column("prefix")
             item, row = lists.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
             size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             place = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)
-            keep = _known(bits, item)
+            keep = _known(many_bits.value, item)
+            if not many:
+                keep = ~keep & _known(few_bits.value, item)
             at = pa.array(row[keep])
+            parity = batch.column("parity").flatten().to_numpy().reshape(batch.num_rows, RANGES // FEW_RANGES, FEW_RANGES // 64)
+            few = np.bitwise_xor.reduce(parity, axis=1)[row[keep]]  # neighbouring ranges as one
+            few = pa.ListArray.from_arrays(pa.array(np.arange(len(few) + 1) * (FEW_RANGES // 64), pa.int32()), pa.array(few.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(item[keep]), batch.column("uid").take(at), batch.column("n_shingles").take(at), batch.column("n_index").take(at), pa.array(place[keep].astype(np.int32))],
-                names=["item", "uid", "n", "n_index", "p"],
+                [pa.array(item[keep]), batch.column("uid").take(at), batch.column("n_shingles").take(at), batch.column("n_index").take(at), pa.array(place[keep].astype(np.int32)), few],
+                names=["item", "uid", "n", "n_index", "p", "few"],
             )
 
-    listed = nodes.select("uid", "n_shingles", "n_index", "prefix").mapInArrow(run, "item long, uid long, n long, n_index int, p int")
-    listed = staged(listed.join(several, "item", "left_semi"), "join-listed")
+    return nodes.select("uid", "n_shingles", "n_index", "prefix", "parity").mapInArrow(run, "item long, uid long, n long, n_index int, p int, few array<long>")
+
+
+def _once_each(listed: DataFrame) -> DataFrame:
+    """Of n-grams with the very same nodes only the first in the order, which comes first in all of them; adds m, their number."""
     alike = (F.count("*").alias("m"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("y"), F.min(F.struct("uid", "p")).alias("first"))
-    kept = listed.groupBy("item").agg(*alike).groupBy("m", "x", "y").agg(F.min_by("item", F.struct("first.p", "item")).alias("item"), F.first("m").alias("size")).select("item", F.col("size").alias("m"))
-    return staged(listed.join(kept, "item"), "join-shared")
+    kept = listed.groupBy("item").agg(*alike).where("m > 1").groupBy("m", "x", "y").agg(F.min_by("item", F.struct("first.p", "item")).alias("item")).select("item", "m")
+    return listed.join(kept, "item")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -251,7 +260,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return staged(sets, "join-sets")
 
 
-def _apart(a: str, b: str) -> Column:
+def _apart(a: str, b: str | Column) -> Column:
     """Ranges in which one set has an odd and the other an even number: the sets differ by as many n-grams at least."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
 
@@ -320,13 +329,13 @@ def block_candidates(marked: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs of different components that share a prefix n-gram and pass all filters: u, v, apart; with best, only the
     best of any two components in a pair of blocks.
 
-    marked: item, uid, n, n_index, p, m (nodes of the item), root, parity.
+    marked: item, uid, n, n_index, p, few, root and m (nodes of the item; without it, no item has many).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, cuts in _whole_groups(batches, "item"):
             uid, n, index, p, root, block, lo, hi = (batch.column(c).to_numpy().astype(np.int64) for c in ("uid", "n", "n_index", "p", "root", "block", "lo", "hi"))
-            parity = batch.column("parity").flatten().to_numpy().view(np.uint64).reshape(-1, RANGES // 64)
+            parity = batch.column("few").flatten().to_numpy().view(np.uint64).reshape(-1, FEW_RANGES // 64)
             end = np.repeat(cuts[1:], np.diff(cuts))
             later = end - np.arange(len(uid)) - 1  # rows are sorted by n: the first of a pair is the smaller one
             upto = np.cumsum(later)
@@ -357,18 +366,27 @@ def block_candidates(marked: DataFrame, percent: int, best: bool) -> DataFrame:
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(apart)], names=["u", "v", "apart"])
 
-    return _in_blocks(marked, "item", "m").mapInArrow(run, "u long, v long, apart long")
+    shape = "u long, v long, apart long"
+    if "m" in marked.columns:
+        return _in_blocks(marked, "item", "m").mapInArrow(run, shape)
+    one = marked.withColumns({c: F.lit(0) for c in ("block", "lo", "hi")})
+    return one.repartition("item").sortWithinPartitions("item", "lo", "hi", "n", "uid").mapInArrow(run, shape)
 
 
 def component_labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """node and root of all nodes that have a link; the nodes that share a prefix n-gram; whole sets of those that were verified."""
     spark = docs.sparkSession
-    listed = _shared_items(nodes)
-    near = staged(listed.select("uid").distinct().join(nodes.select("uid", "n_shingles", "parity", "doc_id", "text_key"), "uid"), "join-near")
+    several = staged(nodes.select(F.explode("prefix").alias("item")).groupBy("item").agg(F.count("*").alias("m")).where("m > 1"), "join-items")
+    few_bits, many_bits = (spark.sparkContext.broadcast(_filter_bits(several.where(f"m {which} {FEW}"), F.col("item"))) for which in ("<=", ">"))
+    # N-grams of few nodes give all their candidates at once; most of these share by chance, and fall here.
+    pairs = block_candidates(_postings(nodes, few_bits, many_bits, False).withColumn("root", F.col("uid")), percent, False)
+    pairs = staged(pairs.select("u", "v").distinct(), "join-pairs")
+    listed = staged(_once_each(staged(_postings(nodes, few_bits, many_bits, True), "join-listed")), "join-shared")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("uid")).unionByName(listed.select("uid")).distinct()
+    near = staged(nodes.select("uid", "n_shingles", "parity", "doc_id", "text_key").join(ends, "uid", "left_semi"), "join-near")
     parities = near.select("uid", "n_shingles", "parity")
     sets = None
     labels = spark.createDataFrame([], "node long, root long")
-    tried = spark.createDataFrame([], "u long, v long")
 
     def linked(pairs: DataFrame, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         ends = near.join(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "uid", "left_semi")
@@ -378,15 +396,20 @@ def component_labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) ->
             sets = fresh if sets is None else sets.unionByName(fresh)
         return _verified(pairs, sets, percent), sets
 
+    tried = staged(_suffix_filter(pairs, parities, percent).select("u", "v"), "join-tried")
+    if not tried.isEmpty():
+        links, sets = linked(tried, None)
+        labels = _merged(labels, links)
     for turn in range(TURNS):
-        hubs = listed.groupBy("item").agg(F.min_by(F.struct("n", "n_index", "uid", "p"), F.xxhash64(F.lit(turn), "uid", "item")).alias("hub"))
+        hubs = listed.groupBy("item").agg(F.min_by(F.struct("n", "n_index", "uid", "p", "few"), F.xxhash64(F.lit(turn), "uid", "item")).alias("hub"))
         smaller = F.struct("n", "uid") < F.struct("hub.n", "hub.uid")
         fits = F.when(smaller, (F.col("p") < F.col("n_index")) & _pair_filter(F.col("n"), F.col("p"), F.col("hub.n"), F.col("hub.p"), percent))
         fits = fits.otherwise((F.col("hub.p") < F.col("hub.n_index")) & _pair_filter(F.col("hub.n"), F.col("hub.p"), F.col("n"), F.col("p"), percent))
-        stars = listed.join(hubs, "item").where(F.col("uid") != F.col("hub.uid")).where(fits).select(F.col("uid").alias("v"), F.col("hub.uid").alias("u"))
+        alike = F.col("n") + F.col("hub.n") - _apart("few", F.col("hub.few")) >= 2 * _needed(F.col("n"), F.col("hub.n"), percent)
+        stars = listed.join(hubs, "item").where(F.col("uid") != F.col("hub.uid")).where(fits).where(alike).select(F.col("uid").alias("v"), F.col("hub.uid").alias("u"))
         stars = _across(stars.distinct(), labels).select("u", "v")
-        few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64(F.lit(turn), "u").alias("h"), "u"))), 1, WEIGHED)  # of one node's prefix
-        stars = stars.groupBy("v").agg(few.alias("few")).select("v", F.explode("few.u").alias("u"))
+        some = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64(F.lit(turn), "u").alias("h"), "u"))), 1, WEIGHED)  # of one node's prefix
+        stars = stars.groupBy("v").agg(some.alias("some")).select("v", F.explode("some.u").alias("u"))
         best = _suffix_filter(stars, parities, percent).groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u"))
         best = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         best = staged(best.join(tried, ["u", "v"], "left_anti"), "join-best")
@@ -401,8 +424,8 @@ def component_labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) ->
     for first in (True, False):
         marked = _rooted(listed, labels)
         mixed = marked.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("item")
-        marked = marked.join(mixed, "item", "left_semi").join(parities.select("uid", "parity"), "uid")
-        pairs = _across(block_candidates(marked, percent, first).groupBy("u", "v").agg(F.min("apart").alias("apart")), labels).join(tried, ["u", "v"], "left_anti")
+        pairs = block_candidates(marked.join(mixed, "item", "left_semi"), percent, first).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
+        pairs = _across(_suffix_filter(pairs, parities, percent), labels)
         if first:
             a, b = F.least("ru", "rv"), F.greatest("ru", "rv")
             pairs = pairs.groupBy(a.alias("a"), b.alias("b")).agg(F.min_by(F.struct("u", "v"), F.struct("apart", "u", "v")).alias("e")).select("e.u", "e.v")

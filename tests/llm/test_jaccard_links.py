@@ -1,7 +1,11 @@
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from credence.llm import jaccard_join as jj
-from tests.llm.test_jaccard_join import corpus
+from tests.llm.test_jaccard_join import brute, corpus
 
 
 def brute_links(docs, n, percent):
@@ -19,3 +23,28 @@ def test_links_within_components_too(spark, seed, n, percent):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_links) for r in jj.near_duplicates(df, n, percent).collect()), key=str)
     assert got == brute_links(docs, n, percent) and dict(got)[1005] == 29
+
+
+@pytest.mark.parametrize("changed", [10, 11])
+def test_a_large_group_around_the_threshold(spark, monkeypatch, changed):
+    """Copies of one text, most pairs of which are just above or just below 90 percent, in several blocks; more candidates than rows are never moved."""
+    monkeypatch.setattr(jj, "BLOCK", 32)
+    monkeypatch.setattr(jj, "AT_ONCE", 500)
+    rng, base = random.Random(changed), [f"w{i}" for i in range(1200)]
+    docs = []
+    for i in range(120):
+        text = list(base)
+        for k in rng.sample(range(1200), changed):
+            text[k] = f"x{i}-{k}"
+        docs.append((i, " ".join(text)))
+    docs += [(1000 + i, docs[i][1]) for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = jj.near_duplicates(df).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == brute_links(docs, 3, 90)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(docs, 90)
+
+
+def test_common_counts():
+    lists = pa.array([[1, 2, 3], [], [3, 2, 9], [7], [1, 2, 3]], pa.list_(pa.int64()))
+    got = jj.common_counts(lists, np.array([0, 1, 4]), np.array([2, 3]))
+    assert got.tolist() == [[2, 0], [0, 0], [2, 0]]
