@@ -13,16 +13,16 @@ rest is verified by whole sets.
 Large groups are not expanded into all pairs, as a pair within a component can't change the components:
 
 1. N-grams that up to `FEW` nodes have in their prefixes give all candidates at once, which are filtered and verified.
-2. In turns, until one merges nothing (`TURNS` at most), each node meets one node of each of its other prefix n-grams, another
+2. In turns, until one merges little (`TURNS` at most), each node meets one node of each of its other prefix n-grams, another
    one each turn, and the most promising pair that lies in two components is verified.
-3. The nodes of each such n-gram that still has several components meet in blocks of `BLOCK`; a block pair is filtered in
-   numpy and gives only pairs of different components that pass all filters: first the best of any two components, then,
+3. The nodes of each such n-gram that still has several components meet in pairs of blocks (`BLOCKS` of them for more than
+   `BLOCK` nodes); a block pair is filtered in numpy and gives only pairs of different components that pass all filters: first the best of any two components, then,
    when these are verified, all others that still lie in two components and weren't verified before.
 4. Links only join nodes of one component. Their number is counted within components, again by pairs of blocks, whose
    common n-grams are counted exactly by products of 0/1 matrices; a block pair gives one number for each node.
 
 No candidate is dropped, and none is verified twice for the components. Steps 3 and 4 compare within a group by arithmetic
-that grows with its square, but what they shuffle grows with its size (times the group's number of blocks).
+that grows with its square, but what they shuffle grows with its size (times `BLOCKS`).
 
 Defined cases: texts without words, or null, have empty sets and link with nothing; fewer words than n make one n-gram;
 null ids are no smallest id unless a component has no other; repeated rows are one node and link with each other; further
@@ -50,12 +50,16 @@ ORDER_LIST = 500_000
 #: Occurrences within about so many n-grams of one task at which an n-gram counts as recurring.
 RECURS, COUNT_AT = 3, 2_000_000
 RANGES, FEW_RANGES, TURNS = 2048, 512, 4
+#: Links of a turn, as a share of the nodes that have links, below which the blocks take over.
+SETTLED = 0.05
 #: Nodes up to which all pairs of a prefix n-gram are candidates at once.
 FEW = 8
 #: Pairs of one node that are weighed in a turn; what is left over waits for the blocks, which leave out nothing.
 WEIGHED = 6
-#: Nodes of a block, and pairs (or columns) that a task compares at a time.
-BLOCK, AT_ONCE, COLUMNS = 1024, 1 << 16, 2048
+#: Nodes up to which a group is one block, and blocks of a larger one.
+BLOCK, BLOCKS = 256, 6
+#: Pairs, or rows and columns, that a task compares at a time.
+AT_ONCE, SIDE, COLUMNS = 1 << 16, 1024, 2048
 #: Bits of the filters that spare n-grams and texts without candidates: about eight for each wanted one, but no more than
 #: MOST_BITS (16 MB); false alarms only cost time, as an exact join follows.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
@@ -265,14 +269,22 @@ def _apart(a: str, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
 
 
+def _ends(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of table (uid) that are an end of a pair. pairs should be staged, so that Spark knows when they are few, and
+    moves nothing else of the table."""
+    return table.join(pairs.select(F.explode(F.array("u", "v")).alias("uid")), "uid", "left_semi")
+
+
 def _suffix_filter(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
-    """pairs u, v with the bound of their difference; those that it rules out are gone."""
+    """pairs u, v (staged) with the bound of their difference; those that it rules out are gone."""
+    parities = _ends(parities, pairs)
     both = pairs.join(parities.toDF("u", "un", "up"), "u").join(parities.toDF("v", "vn", "vp"), "v").withColumn("apart", _apart("up", "vp"))
     return both.where(F.col("un") + F.col("vn") - F.col("apart") >= 2 * _needed(F.col("un"), F.col("vn"), percent)).drop("up", "vp")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that link, by their whole sets."""
+    sets = _ends(sets, pairs)
     both = pairs.select("u", "v").join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     common = F.size(F.array_intersect("a", "b"))
     return staged(both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v"), "join-links")
@@ -293,8 +305,9 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame, group: str, m: str) -> DataFrame:
-    """Deals the rows of each group (m of them) in blocks and gives each row to all pairs of blocks that its block is in: lo, hi, block."""
-    blocks = F.ceil(F.col(m) / BLOCK).cast("int")
+    """Deals the rows of each group of more than BLOCK (m of them) in BLOCKS blocks and gives each row to all pairs of blocks that
+    its block is in: lo, hi, block. So what is moved grows with the rows, whatever the size of the groups."""
+    blocks = F.when(F.col(m) > BLOCK, BLOCKS).otherwise(1)
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "uid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other", m)
@@ -336,8 +349,9 @@ def block_candidates(marked: DataFrame, percent: int, best: bool) -> DataFrame:
         for batch, cuts in _whole_groups(batches, "item"):
             uid, n, index, p, root, block, lo, hi = (batch.column(c).to_numpy().astype(np.int64) for c in ("uid", "n", "n_index", "p", "root", "block", "lo", "hi"))
             parity = batch.column("few").flatten().to_numpy().view(np.uint64).reshape(-1, FEW_RANGES // 64)
-            end = np.repeat(cuts[1:], np.diff(cuts))
-            later = end - np.arange(len(uid)) - 1  # rows are sorted by n: the first of a pair is the smaller one
+            # Rows are sorted by n: the first of a pair is the smaller one, and those that are too large for it come last.
+            end = np.concatenate([a + np.searchsorted(n[a:b], 100 * n[a:b] // percent, "right") for a, b in zip(cuts[:-1], cuts[1:])])
+            later = np.where(p < index, end - np.arange(len(uid)) - 1, 0)
             upto = np.cumsum(later)
             found: list[tuple] = []
             at = 0
@@ -348,7 +362,7 @@ def block_candidates(marked: DataFrame, percent: int, best: bool) -> DataFrame:
                 at = stop
                 most = np.minimum(p[x], p[y]) + 1 + np.minimum(n[x] - p[x], n[y] - p[y]) - 1
                 needed = -(-percent * (n[x] + n[y]) // (100 + percent))
-                keep = (root[x] != root[y]) & ((lo[x] == hi[x]) | (block[x] != block[y])) & (100 * n[x] >= percent * n[y]) & (p[x] < index[x]) & (most >= needed)
+                keep = (root[x] != root[y]) & ((lo[x] == hi[x]) | (block[x] != block[y])) & (most >= needed)
                 x, y, needed = x[keep], y[keep], needed[keep]
                 apart = np.bitwise_count(parity[x] ^ parity[y]).sum(1, dtype=np.int64) if len(x) else np.zeros(0, np.int64)
                 keep = n[x] + n[y] - apart >= 2 * needed
@@ -409,7 +423,7 @@ def component_labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) ->
         stars = listed.join(hubs, "item").where(F.col("uid") != F.col("hub.uid")).where(fits).where(alike).select(F.col("uid").alias("v"), F.col("hub.uid").alias("u"))
         stars = _across(stars.distinct(), labels).select("u", "v")
         some = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64(F.lit(turn), "u").alias("h"), "u"))), 1, WEIGHED)  # of one node's prefix
-        stars = stars.groupBy("v").agg(some.alias("some")).select("v", F.explode("some.u").alias("u"))
+        stars = staged(stars.groupBy("v").agg(some.alias("some")).select("v", F.explode("some.u").alias("u")), "join-stars")
         best = _suffix_filter(stars, parities, percent).groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u"))
         best = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         best = staged(best.join(tried, ["u", "v"], "left_anti"), "join-best")
@@ -417,15 +431,18 @@ def component_labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) ->
             break
         links, sets = linked(best, sets)
         tried = tried.unionByName(best)
-        if links.isEmpty():
+        merged = links.count()
+        if not merged:
             break
         labels = _merged(labels, links)
+        if merged < SETTLED * labels.count():
+            break
 
     for first in (True, False):
         marked = _rooted(listed, labels)
         mixed = marked.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("item")
         pairs = block_candidates(marked.join(mixed, "item", "left_semi"), percent, first).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-        pairs = _across(_suffix_filter(pairs, parities, percent), labels)
+        pairs = _across(_suffix_filter(staged(pairs, "join-blocks"), parities, percent), labels)
         if first:
             a, b = F.least("ru", "rv"), F.greatest("ru", "rv")
             pairs = pairs.groupBy(a.alias("a"), b.alias("b")).agg(F.min_by(F.struct("u", "v"), F.struct("apart", "u", "v")).alias("e")).select("e.u", "e.v")
@@ -460,13 +477,17 @@ def _link_counts(docs: DataFrame, labels: DataFrame, near: DataFrame, sets: Data
                 size, rows, block = (group.column(c).to_numpy() for c in ("n", "copies", "block"))
                 across = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
                 left, right = (np.flatnonzero(block == group.column(c)[0].as_py()) for c in ("lo", "hi"))
-                common = common_counts(group.column("items"), left, right)
-                linked = (100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)) & (common > 0)
-                if across:
-                    out[a + right] += linked.T @ rows[left]
-                else:
-                    np.fill_diagonal(linked, False)
-                out[a + left] += linked @ rows[right]
+                for i in range(0, len(left), SIDE):
+                    x = left[i : i + SIDE]
+                    for j in range(0 if across else i, len(right), SIDE):
+                        y = right[j : j + SIDE]
+                        common = common_counts(group.column("items").take(pa.array(np.concatenate([x, y]))), np.arange(len(x)), len(x) + np.arange(len(y)))
+                        linked = (100 * common >= percent * (size[x][:, None] + size[y][None, :] - common)) & (common > 0)
+                        if across or i < j:
+                            out[a + y] += linked.T @ rows[x]
+                        else:
+                            np.fill_diagonal(linked, False)
+                        out[a + x] += linked @ rows[y]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out)], names=["uid", "others"])
 
     rows = large.join(sets, "uid").withColumn("n", F.size("items").cast("long"))
@@ -499,7 +520,8 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, lin
     full = rows.where("n_shingles > 0")
     groups = full.groupBy("sig").agg(F.min("rid").alias("uid"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "rid")).alias("first"))
     groups = staged(groups, "join-groups")
-    nodes = full.join(groups.select("uid"), full["rid"] == F.col("uid"), "left_semi").withColumnRenamed("rid", "uid")
+    repeats = full.select("rid", "sig").join(groups.where("copies > 1").select("sig", "uid"), "sig").where("rid <> uid").select("rid")
+    nodes = full.join(staged(repeats, "join-repeats"), "rid", "left_anti").withColumnRenamed("rid", "uid")
     labels, near, sets = component_labels(docs, staged(nodes.drop("sig"), "join-nodes"), n, percent)
     of_group = _rooted(groups, labels)
     of_root = of_group.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("keeper"))

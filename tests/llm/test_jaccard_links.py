@@ -48,3 +48,29 @@ def test_common_counts():
     lists = pa.array([[1, 2, 3], [], [3, 2, 9], [7], [1, 2, 3]], pa.list_(pa.int64()))
     got = jj.common_counts(lists, np.array([0, 1, 4]), np.array([2, 3]))
     assert got.tolist() == [[2, 0], [0, 0], [2, 0]]
+
+
+def test_blocks_move_rows_in_proportion_to_a_group(spark):
+    """However large the group of one n-gram or component is, a row goes to a bounded number of block pairs."""
+    sizes = (200, 2_000, 40_000)
+    for m in sizes:
+        rows = spark.range(m).selectExpr("1L AS item", "id AS uid", "10L AS n", f"{m}L AS m")
+        dealt = jj._in_blocks(rows, "item", "m")
+        assert dealt.count() <= jj.BLOCKS * m
+        assert dealt.select("uid", "lo", "hi").distinct().count() == dealt.count()
+        met = dealt.select("lo", "hi").distinct().count()
+        assert met == (1 if m <= jj.BLOCK else jj.BLOCKS * (jj.BLOCKS + 1) // 2)
+
+
+def test_components_in_one_task_and_in_steps(spark, monkeypatch):
+    from credence.llm import components
+
+    rng = random.Random(7)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(1000 + i, 1001 + i) for i in range(60)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    found = []
+    for at_once in (1_000_000, 0):
+        monkeypatch.setattr(components, "AT_ONCE", at_once)
+        found.append(sorted(map(tuple, components.connected(df).collect())))
+    assert found[0] == found[1] and dict(found[0])[1060] == 1000
+    assert components.connected(df.limit(0)).count() == 0
