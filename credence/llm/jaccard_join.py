@@ -52,8 +52,8 @@ RECURS, COUNT_AT = 3, 2_000_000
 RANGES, FEW_RANGES, TURNS = 2048, 512, 4
 #: Links of a turn, as a share of the nodes that have links, below which the blocks take over.
 SETTLED = 0.05
-#: Nodes up to which all pairs of a prefix n-gram are candidates at once.
-FEW = 8
+#: Nodes up to which all pairs of a prefix n-gram are candidates at once; without effect on the links.
+FEW = 32
 #: Pairs of one node that are weighed in a turn; what is left over waits for the blocks, which leave out nothing.
 WEIGHED = 6
 #: Nodes up to which a group is one block, and blocks of a larger one.
@@ -397,6 +397,7 @@ def component_labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) ->
     pairs = staged(pairs.select("u", "v").distinct(), "join-pairs")
     listed = staged(_once_each(staged(_postings(nodes, few_bits, many_bits, True), "join-listed")), "join-shared")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("uid")).unionByName(listed.select("uid")).distinct()
+    ends = staged(ends, "join-ends")
     near = staged(nodes.select("uid", "n_shingles", "parity", "doc_id", "text_key").join(ends, "uid", "left_semi"), "join-near")
     parities = near.select("uid", "n_shingles", "parity")
     sets = None
@@ -416,6 +417,7 @@ def component_labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) ->
         labels = _merged(labels, links)
     for turn in range(TURNS):
         hubs = listed.groupBy("item").agg(F.min_by(F.struct("n", "n_index", "uid", "p", "few"), F.xxhash64(F.lit(turn), "uid", "item")).alias("hub"))
+        hubs = staged(hubs, "join-hubs")
         smaller = F.struct("n", "uid") < F.struct("hub.n", "hub.uid")
         fits = F.when(smaller, (F.col("p") < F.col("n_index")) & _pair_filter(F.col("n"), F.col("p"), F.col("hub.n"), F.col("hub.p"), percent))
         fits = fits.otherwise((F.col("hub.p") < F.col("hub.n_index")) & _pair_filter(F.col("hub.n"), F.col("hub.p"), F.col("n"), F.col("p"), percent))
@@ -441,6 +443,7 @@ def component_labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) ->
     for first in (True, False):
         marked = _rooted(listed, labels)
         mixed = marked.groupBy("item").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("item")
+        mixed = staged(mixed, "join-mixed")
         pairs = block_candidates(marked.join(mixed, "item", "left_semi"), percent, first).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
         pairs = _across(_suffix_filter(staged(pairs, "join-blocks"), parities, percent), labels)
         if first:
