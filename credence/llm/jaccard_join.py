@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm._common import coded_words, free_name, slices, staged, strings
+from credence.llm._common import coded_words, free_name, in_small_batches, slices, staged, strings
 from credence.llm.components import connected
 
 WORDS, PERCENT = 3, 90
@@ -516,6 +516,7 @@ def common_counts(lists: pa.ListArray, left: np.ndarray, right: np.ndarray) -> n
     return out.astype(np.int64)
 
 
+@in_small_batches
 def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, links: bool = False) -> DataFrame:
     """Per row of docs: rid, doc_id, text_key, n_shingles, component_id, keeper (the row of its component that stays) and,
     if asked for, n_links (the other rows that it links with)."""
