@@ -1,11 +1,13 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-Vectors become whole numbers, floor(64 * component). Each block of candidates is an index: for every dimension and level of
-absolute value (the quantised impact) a posting segment with its vectors and impacts. A block of queries is answered by
-taking the segments in descending order of impact times the queries' largest weight and adding impact times weight to the
-scores. After each level the rest of a vector's score is bounded by Cauchy-Schwarz over its components not yet seen; the
-work stops once the vectors whose upper bound reaches the k-th lower bound are few, and these possible members are
-rescored exactly. Without such a proof all segments are taken, and the scores are then exact.
+Vectors become whole numbers, floor(64 * component). Each block of candidates is an index: for every level of absolute value
+(the quantised impact) a posting segment with its vectors, dimensions and impacts. A block of queries is answered by taking
+the segments in descending order of impact and adding impact times weight to the scores, a segment at a time as one matrix
+product. It is taken in the smallest kind of number in which all its sums are exact. After a level the rest of a vector's
+score is bounded by Cauchy-Schwarz over its components not yet seen; where little is left, a proof is tried: the work stops if
+the vectors whose upper bound reaches the k-th lower bound are few, and these possible members are rescored exactly. Without
+such a proof all segments are taken, and the scores are then exact. Every query meets every vector, so the work grows with the
+number of queries times that of vectors.
 
 Queries (a stated set) meet candidates block by block: each block of candidates is sent once to each group of queries, and
 only its k best for each query go on to the final choice.
@@ -30,71 +32,86 @@ LARGEST = 1 << 20
 LEVELS = (32, 16, 8, 4, 1)
 #: Queries whose scores are held at once, and the share of a block at which possible members are rescored.
 BATCH, FEW = 64, 0.05
+#: Share of the squared lengths that may be left when a proof is tried.
+LITTLE = 0.01
 
 
 class ImpactIndex:
-    """Posting segments of one block of vectors, by level and dimension."""
+    """Posting segments of one block of vectors, by level."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        size = np.abs(vectors)
-        self.segments: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
+        size, squares = np.abs(vectors), vectors.astype(np.float64) ** 2
+        self.segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.rest = []  # norm of what is left of each vector after a level
-        upper = np.full_like(size, np.iinfo(np.int64).max)
-        left = (vectors.astype(np.float64) ** 2).sum(1)
+        self.hopeful = []  # whether that is little
+        upper = np.iinfo(np.int64).max
+        self.norm = np.sqrt(squares.sum(1).max(initial=0))
         for low in LEVELS:
             mask = (size >= low) & (size < upper)
-            level = []
-            for d in np.flatnonzero(mask.any(0)):
-                ids = np.flatnonzero(mask[:, d])
-                level.append((int(d), ids, vectors[ids, d].astype(np.float64)))
-            self.segments.append(level)
-            left = left - np.where(mask, vectors.astype(np.float64) ** 2, 0).sum(1)
-            self.rest.append(np.sqrt(np.maximum(left, 0)))
-            upper = np.full_like(size, low)
+            ids, dims = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+            self.segments.append((ids, dims, np.where(mask, vectors, 0)[np.ix_(ids, dims)]))
+            left = np.where(size < low, squares, 0).sum(1)
+            self.rest.append(np.sqrt(left))
+            self.hopeful.append(left.sum() <= LITTLE * squares.sum())
+            upper = low
 
     def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the places and exact scores of its k best vectors; own: ids of the queries, ids: of the vectors."""
+        order = np.argsort(ids, kind="stable")
+        cuts = zip(*(np.searchsorted(ids[order], own, side).tolist() for side in ("left", "right")))
+        same = [order[a:b] for a, b in cuts]
+        # No sum of parts of a score exceeds the product of the norms.
+        most = 1.01 * self.norm * np.sqrt((queries.astype(np.float64) ** 2).sum(1).max(initial=0))
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+        segments = [(rows, dims, impacts.astype(kind)) for rows, dims, impacts in self.segments]
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(queries), BATCH):
-            out += self._batch(queries[at : at + BATCH], own[at : at + BATCH], ids, k)
+            out += self._batch(segments, queries[at : at + BATCH], same[at : at + BATCH], ids, k)
         return out
 
-    def _batch(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        n, m = len(self.vectors), len(queries)
-        scores = np.zeros((n, m))
-        weights = queries.astype(np.float64)
-        norms, strongest = np.sqrt((weights**2).sum(1)), np.abs(weights).max(0, initial=0)
-        foreign = ids[:, None] != own[None, :]
-        exact = False
-        for level, rest in zip(self.segments, self.rest):
-            for d, members, impacts in sorted(level, key=lambda s: -strongest[s[0]] * np.abs(s[2]).max()):
-                if strongest[d]:
-                    scores[members] += impacts[:, None] * weights[:, d]
-            exact = not rest.any()
-            if exact or n <= k + 1:
-                continue
-            slack = rest[:, None] * norms[None, :] * (1 + 1e-12)
-            lower = np.where(foreign, scores - slack, -np.inf)
-            kth = np.partition(lower, n - k, axis=0)[n - k]
-            possible = foreign & (scores + slack >= kth[None, :])
-            if possible.sum(0).max(initial=0) <= max(k, FEW * n):
-                return [self._rescored(np.flatnonzero(possible[:, j]), queries[j], ids, k) for j in range(m)]
-        if not exact:  # impacts below the last level are zeros, so this can't happen with whole numbers
-            raise AssertionError("segments don't cover the vectors")
-        out = []
-        for j in range(m):
-            mine = np.flatnonzero(foreign[:, j])
-            if len(mine) > k:
-                kth = np.partition(scores[mine, j], len(mine) - k)[len(mine) - k]
-                mine = mine[scores[mine, j] >= kth]
-            out.append(self._rescored(mine, queries[j], ids, k))
-        return out
-
-    def _rescored(self, places: np.ndarray, query: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        score = self.vectors[places] @ query
-        order = np.lexsort((ids[places], -score))[:k]
-        return places[order], score[order]
+    def _batch(self, segments: list, queries: np.ndarray, same: list[np.ndarray], ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, kind = len(self.vectors), segments[0][2].dtype
+        scores, weights = np.zeros((len(queries), n), kind), queries.astype(kind)
+        norms = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
+        for (rows, dims, impacts), rest, hopeful in zip(segments, self.rest, self.hopeful):
+            if len(rows) == n:
+                scores += weights[:, dims] @ impacts.T
+            elif len(rows):
+                scores[:, rows] += weights[:, dims] @ impacts.T
+            if not rest.any():
+                possible = _reaching(scores, scores, same, k)
+                row, place = np.nonzero(possible)
+                return self._best(row, place, scores[row, place].astype(np.int64), len(queries), ids, k)
+            if hopeful and n > k + 1 and kind != np.int64:
+                slack = norms[:, None] * rest * (1 + 1e-12)
+                possible = _reaching(scores - slack, scores + slack, same, k)
+                if possible.sum(1).max() <= max(k, FEW * n):
+                    row, place = np.nonzero(possible)
+                    return self._best(row, place, (self.vectors[place] * queries[row]).sum(1), len(queries), ids, k)
+        raise AssertionError("segments don't cover the vectors")  # impacts below the last level are zeros, so this can't happen with whole numbers
+
+    def _best(self, row: np.ndarray, place: np.ndarray, score: np.ndarray, m: int, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        order = np.lexsort((ids[place], -score, row))
+        place, score, cuts = place[order], score[order], np.searchsorted(row, np.arange(m + 1))
+        return [(place[a : min(a + k, b)], score[a : min(a + k, b)]) for a, b in zip(cuts, cuts[1:])]
+
+
+def _reaching(lower: np.ndarray, upper: np.ndarray, same: list[np.ndarray], k: int) -> np.ndarray:
+    """Which vectors can be among the k best of each row: all whose upper bound reaches what k lower bounds reach, the k-th of
+    the largest of many parts of the row. Those in `same` are no candidates; their bounds are overwritten."""
+    (m, n), least = lower.shape, np.iinfo(np.int64).min if lower.dtype == np.int64 else -np.inf
+    for j, own in enumerate(same):
+        lower[j, own] = upper[j, own] = least
+    if n <= k:
+        possible = np.ones((m, n), bool)
+    else:
+        part = max(1, n // (4 * k))
+        tops = lower[:, : n // part * part].reshape(m, -1, part).max(2)
+        possible = upper >= np.partition(tops, tops.shape[1] - k, axis=1)[:, -k, None]
+    for j, own in enumerate(same):
+        possible[j, own] = False
+    return possible
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
