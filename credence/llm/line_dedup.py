@@ -3,7 +3,8 @@
 Every line of every text is hashed (two 64-bit hashes) and a HyperLogLog sketch of the sites that carry it is merged by
 aggregation. A sketch estimate well above the threshold marks a line as boilerplate, one well below clears it, and lines
 near the threshold get an exact distinct count. A marked line stays in the document with the smallest id that has it and
-goes from all others.
+goes from all others. Texts are cut into lines twice: once for the sketches, and once for the sites and texts of all lines
+that the sketches leave, from which both the exact counts and the marked lines of each text are taken.
 
 Defined cases: lines are compared without surrounding white space; lines of fewer than `min_words` words always stay; null
 text has no lines and stays null; a text whose lines all go becomes empty; null sites count as one site of their own; null
@@ -22,16 +23,22 @@ MIN_SITES, MIN_WORDS = 5, 4
 LG_K = 10
 #: Estimates within this share of the threshold (at least one site) are counted exactly: over three standard errors at LG_K.
 BAND = 0.15
-BLANKS = "[\\x20\\x09-\\x0D]"
+BLANKS, WORD = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
+BLANK_CHARS = " \t\n\x0b\x0c\r"
 LAST = 1 << 62
 
 
 def line_key(line: Column) -> Column:
     """128 bits of a line without surrounding white space."""
-    core = F.regexp_replace(line, f"^{BLANKS}+|{BLANKS}+$", "")
+    core = F.btrim(line, F.lit(BLANK_CHARS))
     return F.struct(F.xxhash64(core).alias("a"), F.xxhash64(F.lit(1), core).alias("b"))
 
 
+def _has_words(line: Column, n: int) -> Column:
+    """Whether the line has n words or more; the match ends at the n-th and never goes back over what it has taken."""
+    return line.rlike(f"^{BLANKS}*+(?:{WORD}++{BLANKS}++){{{n - 1}}}{WORD}") if n > 0 else F.lit(True)
+
+
 def _text_key(text: Column) -> Column:
     """Null texts are dealt by their ids, so that they don't meet in one task."""
     return F.when(text.isNull(), F.xxhash64(F.lit("null"), "doc_id")).otherwise(F.xxhash64(text))
@@ -39,7 +46,6 @@ def _text_key(text: Column) -> Column:
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """One row for each long enough line of each text: key, site, id, text_key."""
-    words = F.regexp_count("line", F.lit("[^\\x20\\x09-\\x0D]+"))
     return (
         docs.where(F.col("text").isNotNull())
         .select(
@@ -48,13 +54,14 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
             _text_key(F.col("text")).alias("text_key"),
             F.explode(F.split("text", "\n")).alias("line"),
         )
-        .where(words >= min_words)
+        .where(_has_words(F.col("line"), min_words))
         .select(line_key(F.col("line")).alias("key"), "site", "id", "text_key")
     )
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, keeper (smallest id with the line) and sites (estimate, or exact near the threshold) of lines to remove."""
+def marked_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """key, keeper (smallest id with the line) and sites (estimate, or exact near the threshold) of lines to remove; and key, site
+    and text_key, once each, of all lines that may be among them."""
     lines = _lines(docs, min_words)
     spread = staged(
         lines.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("id").alias("keeper"))
@@ -62,14 +69,20 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
         .where(F.col("estimate") >= min_sites - _band(min_sites)),
         "line-spread",
     )
+    found = staged(lines.join(spread.select("key"), "key").select("key", "site", "text_key").distinct(), "line-found")
     sure = spread.where(F.col("estimate") > min_sites + _band(min_sites)).select("key", "keeper", F.col("estimate").alias("sites"))
     near = spread.where(F.col("estimate") <= min_sites + _band(min_sites))
     exact = (
-        lines.select("key", "site").join(near.select("key", "keeper"), "key").distinct()
+        found.select("key", "site").join(near.select("key", "keeper"), "key").distinct()
         .groupBy("key", "keeper").agg(F.count("*").alias("sites"))
         .where(F.col("sites") >= min_sites)
     )
-    return staged(sure.unionByName(exact.select("key", "keeper", "sites")), "line-boilerplate")
+    return staged(sure.unionByName(exact.select("key", "keeper", "sites")), "line-boilerplate"), found
+
+
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+    """key, keeper and sites of lines to remove."""
+    return marked_lines(docs, min_sites, min_words)[0]
 
 
 def _band(min_sites: int) -> float:
@@ -79,10 +92,10 @@ def _band(min_sites: int) -> float:
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, count_as: str = "__removed") -> DataFrame:
     """docs with the marked lines removed; columns stay, whatever their names, and `count_as` tells how many lines went."""
     text_key, mine, gone, kept, removed = (free_name(c, docs) for c in ("line_text_key", "line_marked", "line_goes", "line_rest", count_as))
-    marked = boilerplate(docs, min_sites, min_words)
+    marked, found = marked_lines(docs, min_sites, min_words)
     # The marked lines of each distinct text; a clash of text keys only brings lines that are marked anyway.
     of_text = (
-        _lines(docs, min_words).select("text_key", "key").join(marked.select("key", "keeper"), "key").distinct()
+        found.select("text_key", "key").join(marked.select("key", "keeper"), "key").distinct()
         .groupBy(F.col("text_key").alias(text_key)).agg(F.collect_list(F.struct("key", "keeper")).alias(mine))
     )
     of_text = staged(of_text, "line-texts")  # a join of two dealt tables can be split where a text has very many copies
